@@ -1,8 +1,9 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
-from corvane.llm import bpe, exact_dedup, secrets, token_files
+from corvane.llm import bpe, exact_dedup, ngram_join, secrets, token_files
 
 QUERIES = {
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_token_files": token_files.op4_token_files,
     "op7_secret_scan": secrets.op7_secret_scan,
