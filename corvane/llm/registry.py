@@ -1,6 +1,6 @@
 """The queries of this package, and their SQL where SQL can express them."""
 
-from corvane.llm import bpe, exact_dedup, mixing, ngram_join, quality, secrets, token_files, url_filter
+from corvane.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, quality, secrets, token_files, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op8_bpe_round_trip": bpe.op8_bpe_round_trip,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_quality": quality.op10_quality,
 }
 
