@@ -1,30 +1,60 @@
-"""A corpus pipeline of stages that each take what the stage before kept; see STAGES."""
+"""A corpus pipeline; each stage works on all that the one before kept, written as Parquet and read again.
 
-from pyspark.sql import DataFrame, SparkSession
+Stages, in order: documents that the quality classifier rejects go; of texts equal but for white space one stays; of documents that five-word
+shingles link at 0.8 or more one stays; the rest is put in the order of the target mix; and is encoded.
+
+A doc_id stands for a document. Null texts count as empty. Other columns pass through unchanged, whatever their names.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, exact_dedup
-from corvane.llm.session import cut
+from corvane.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from corvane.llm.session import cut, scaled
+
+MIX_PART_ROWS = 8_000
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score the classifier's threshold or more; it is trained on labels that are not held out."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, one stays."""
-    kept = exact_dedup.dedup(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of texts that are equal but for white space, one stays: the one with most code points, then the smallest doc_id."""
+    kept = exact_dedup.dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.unhex(F.sha2(F.translate(text, exact_dedup.SPACES, ""), 256)).alias("_digest"), F.char_length(text).alias("_n"))
+    held = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
+    once = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.desc("_n")))  # rows that repeat a doc_id
+    return held.withColumn("_once", once).filter("_once = 1").select("row.*")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    groups = ngram_join.jaccard_join(docs)
+    gone = groups.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, in the order that gives each source its share of every stretch."""
+    return mixing.in_mixed_order(docs, scaled(docs.count(), MIX_PART_ROWS))
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What stays, as token ids and their digests."""
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
     return bpe.digests(docs)
 
 
-STAGES = [("exact dedup", exact), ("bpe", encode)]
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing sources", mixed), ("BPE encoding", encoded)]
+#: The classifier and the tokenizer cannot be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents table; each writes Parquet that the next one reads."""
+    """Applies the stages to the documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = cut(stage(spark, docs, sf_dir), "stage-" + "".join(x if x.isalnum() else "-" for x in name))
     return STAGES[-1][1](spark, docs, sf_dir)

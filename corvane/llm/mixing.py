@@ -53,19 +53,19 @@ def plan(shares: DataFrame) -> DataFrame:
 
 
 def ranks(docs: DataFrame) -> DataFrame:
-    """doc_id, source, rank: the place in the source by doc_id, from 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"))
+    """row (docs' columns as a struct), doc_id, source, rank: the place in the source by doc_id, from 0."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"))
     ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
     low, width = ends["a"] or 0, max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // scaled(ends["n"], RANGE_ROWS, 1) + 1)
     rows = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")).select("source", "range", F.coalesce(before, F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("source", "range").orderBy("doc_id"))
-    return rows.withColumn("within", within).join(starts, ["source", "range"]).select("doc_id", "source", (F.col("start") + F.col("within") - 1).alias("rank"))
+    return rows.withColumn("within", within).join(starts, ["source", "range"]).select("row", "doc_id", "source", (F.col("start") + F.col("within") - 1).alias("rank"))
 
 
-def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
-    """doc_id, source, block, slot, release, deadline, place for each row; reading by (slot, place) gives the mix."""
+def scheduled(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """row, doc_id, source, block, slot, release, deadline, place for each row."""
     sources = docs.select(F.coalesce("source", F.lit("")).alias("source")).distinct()
     shares = quotas(sources, targets, period)
     ranked = ranks(docs).withColumn("block", F.expr(f"rank div {block_docs}"))
@@ -73,7 +73,18 @@ def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: in
     # the plan has a row for each slot of one period
     slots = timed.join(F.broadcast(plan(shares)), ["source", "k"])
     shift = "block div quota * period"
-    return slots.selectExpr("doc_id", "source", "block", f"{shift} + slot as slot", f"{shift} + release as release", f"{shift} + deadline as deadline", f"rank % {block_docs} as place")
+    return slots.selectExpr("row", "doc_id", "source", "block", f"{shift} + slot as slot", f"{shift} + release as release", f"{shift} + deadline as deadline", f"rank % {block_docs} as place")
+
+
+def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """doc_id, source, block, slot, release, deadline, place for each row; reading by (slot, place) gives the mix."""
+    return scheduled(docs.select("doc_id", "source"), targets, block_docs, period).drop("row")
+
+
+def in_mixed_order(docs: DataFrame, parts: int, targets: dict[str, float] | None = None) -> DataFrame:
+    """The rows of docs with all columns, in the mix's order: partitions are ranges of slots, sorted within."""
+    placed = scheduled(docs, targets).select("row", "slot", "place")
+    return placed.repartitionByRange(parts, "slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

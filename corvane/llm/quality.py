@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.session import cut, documents
+from corvane.llm.session import documents
 from corvane.llm.textops import U, mix, text_chunks, word_hashes, word_spans
 
 BUCKETS = 1 << 15
@@ -115,15 +115,17 @@ def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.nda
 
 
 def document_features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """doc_id and features (float32) for each row. The vectors go along as a broadcast of fixed size."""
+    """docs' other columns and features (float32) for each row. The vectors go along as a broadcast of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    others = [x for x in docs.schema if x.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [x.tobytes() for _, data, offsets in text_chunks(batch.column("text"), 1 << 19) for x in pooled(data, offsets, shared.value)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x.name) for x in others), pa.array(made, pa.binary())], names=[*(x.name for x in others), "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary")
+    schema = docs.select(*(x.name for x in others), F.lit(b"").alias("features")).schema
+    return docs.mapInArrow(run, schema)
 
 
 class Network:
@@ -183,29 +185,51 @@ class Network:
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def fit(features: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labelled: int = MAX_LABELLED) -> Network:
     """Fits on labelled rows that are not held out; the labels are read from no other rows."""
     known = labels.filter(f"not ({HELD_OUT}) and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = features.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).select("features", "quality").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most
+    rows = document_features(texts, vectors).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).select("features", "quality").toPandas()
     x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(-1, FEATURES)
     return Network.fit(x, rows["quality"].to_numpy())
 
 
+def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
+    """Word vectors from all of docs, and the network."""
+    vectors = word_vectors(docs)
+    return vectors, fit(docs, labels, vectors)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
-    vectors = word_vectors(docs)
-    features = cut(document_features(docs, vectors), "features")
-    net = fit(features, labels)
+    vectors, net = trained(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("features").to_pylist()), np.float32).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.score(x), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(_scores(batch, shared.value, net), pa.float64())], names=["doc_id", "score"])
 
-    scored = features.mapInArrow(run, "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def _scores(batch: pa.RecordBatch, vectors: np.ndarray, net: Network) -> np.ndarray:
+    parts = [net.score(pooled(data, offsets, vectors)) for _, data, offsets in text_chunks(batch.column("text"), 1 << 19)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, that score the threshold or more. A narrow stage after training."""
+    vectors, net = trained(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, shared.value, net) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
