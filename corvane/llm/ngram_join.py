@@ -29,7 +29,8 @@ from corvane.llm.session import cut, documents, scaled
 from corvane.llm.textops import U, shingle_sets, signature
 
 FLUSH_TOKENS = 2_000_000
-PART_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
+BROADCAST_ROWS = 500_000
 GROUP_DOCS = 4096
 GROUP_TOKENS = 4_000_000
 CELLS = 4_000_000
@@ -122,34 +123,63 @@ def _binary(column, kind: str) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def _shared_counts(table: pa.Table) -> pa.Table:
-    """For each class of an instance, how many of its shingles in this part another class has too."""
-    part = table.column("part")[0].as_py() if table.num_rows else -1
-    instances = table.column("instance").to_numpy()
-    classes, counts = _binary(table.column("classes"), "<i8"), _binary(table.column("counts"), "<u4")
-    name = np.concatenate(classes)
-    instance = np.repeat(instances, list(map(len, classes)))
-    n = np.concatenate(counts).astype(np.int64)
-    if part >= 0:
-        tokens = np.concatenate(_binary(table.column("tokens"), "<u4"))
-        many = np.unique(np.concatenate(_binary(table.column("many"), "<u4")))
-        entry = np.repeat(np.arange(len(name)), n)
-        order = np.lexsort((name[entry], tokens))
-        ordered, owners = tokens[order], name[entry[order]]
-        n = np.zeros(len(name), np.int64)
-        if len(ordered):
-            first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            last = np.r_[first[1:], len(ordered)] - 1
-            shared = (owners[first] != owners[last]) | np.isin(ordered[first], many, assume_unique=True)
-            n = np.bincount(entry[order][np.repeat(shared, last - first + 1)], minlength=len(name))
-    keep = n > 0
-    return pa.table({"s1": name[keep], "instance": instance[keep], "shared": n[keep]})
+COUNTS_SQL = "part int, classes binary, instances binary, shared binary"
+
+
+def _grouped(names: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, and the edges of groups in it."""
+    group = (names.view(U) % U(groups)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    return order, np.searchsorted(group[order], np.arange(groups + 1))
+
+
+def _shared_counts(groups: int):
+    """For each class of an instance, how many of its shingles in this part another class has too; dealt by class, a row a group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        classes, counts = _binary(table.column("classes"), "<i8"), _binary(table.column("counts"), "<u4")
+        name = np.concatenate(classes)
+        instance = np.repeat(table.column("instance").to_numpy(), list(map(len, classes)))
+        n = np.concatenate(counts).astype(np.int64)
+        if part >= 0:
+            tokens = np.concatenate(_binary(table.column("tokens"), "<u4"))
+            many = np.unique(np.concatenate(_binary(table.column("many"), "<u4")))
+            entry = np.repeat(np.arange(len(name)), n)
+            order = np.lexsort((name[entry], tokens))
+            ordered, owners = tokens[order], name[entry[order]]
+            n = np.zeros(len(name), np.int64)
+            if len(ordered):
+                first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+                last = np.r_[first[1:], len(ordered)] - 1
+                shared = (owners[first] != owners[last]) | np.isin(ordered[first], many, assume_unique=True)
+                n = np.bincount(entry[order][np.repeat(shared, last - first + 1)], minlength=len(name))
+        keep = n > 0
+        name, instance, n = name[keep], instance[keep], n[keep]
+        order, edges = _grouped(name, groups)
+        rows = [(g, name[x].tobytes(), instance[x].tobytes(), n[x].astype("<u4").tobytes()) for g in range(groups) if len(x := order[edges[g] : edges[g + 1]])]
+        kinds = [pa.int32()] + [pa.binary()] * 3
+        return pa.table([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["part", "classes", "instances", "shared"])
+
+    return run
+
+
+def _sum_shared(table: pa.Table) -> pa.Table:
+    """Sums over parts for each class and instance; every instance of a class comes to the same, so that any will do."""
+    name, instance = (np.concatenate(_binary(table.column(k), "<i8")) for k in ("classes", "instances"))
+    n = np.concatenate(_binary(table.column("shared"), "<u4")).astype(np.int64)
+    order = np.lexsort((instance, name))
+    name, instance, n = name[order], instance[order], n[order]
+    first = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (instance[1:] != instance[:-1])])
+    total, name = np.add.reduceat(n, first), name[first]
+    start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    return pa.table({"s1": name[start], "shared": np.maximum.reduceat(total, start)})
 
 
 def survivors(docs: DataFrame, classes: DataFrame, parts: int) -> DataFrame:
     """The classes of which others share at least 0.8 of the shingles."""
-    counts = dealt_shingles(docs, parts).groupBy("part").applyInArrow(_shared_counts, "s1 long, instance long, shared long")
-    each = counts.groupBy("s1", "instance").agg(F.sum("shared").alias("shared")).groupBy("s1").agg(F.max("shared").alias("shared"))
+    counts = dealt_shingles(docs, parts).groupBy("part").applyInArrow(_shared_counts(parts), COUNTS_SQL)
+    each = counts.groupBy("part").applyInArrow(_sum_shared, "s1 long, shared long")
     return classes.join(each, "s1").filter("5 * shared >= 4 * n_shingles").drop("shared")
 
 
@@ -167,7 +197,10 @@ def class_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             if found:
                 yield _table(dict(zip(schema.names, zip(*found, strict=True), strict=True)), schema)
 
-    rows = docs.select("doc_id", "text").join(chosen.select(F.col("least_id").alias("doc_id"), "s1", "size"), "doc_id")
+    picked = chosen.select(F.col("least_id").alias("doc_id"), "s1", "size")
+    if chosen.count() <= BROADCAST_ROWS:  # three numbers a row; beyond that, texts and picks shuffle by doc_id
+        picked = F.broadcast(picked)
+    rows = docs.select("doc_id", "text").join(picked, "doc_id")
     return rows.select("text", "s1", "size").mapInArrow(run, SETS)
 
 
@@ -210,9 +243,7 @@ def _count_rarity(groups: int):
         rank = np.bincount(run_of)[run_of]
         keep = rank > 1
         tokens, owner, rank = tokens[keep], owner[keep], rank[keep]
-        group = (owner.view(U) % U(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(groups + 1))
+        order, edges = _grouped(owner, groups)
         rows = [(g, owner[x].tobytes(), b"", tokens[x].tobytes(), rank[x].astype("<u4").tobytes()) for g in range(groups) if len(x := order[edges[g] : edges[g + 1]])]
         names = ["part", "classes", "counts", "tokens", "ranks"]
         kinds = [pa.int32()] + [pa.binary()] * 4
