@@ -24,11 +24,13 @@ from corvane.llm.session import documents
 
 # Unicode White_Space, as the splitting pattern's \s has it.
 WHITE = "\t-\r \x85\xa0  -     　"
-_PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: A letter never joins a following mark of these either (a special token's text holds none of them).
+_PIECE = re.compile(f"[{WHITE}]*+[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,;:!?%$&#*){WHITE}]|\\Z)|[{WHITE}]*+[^{WHITE}]++|[{WHITE}]++")
+_WHITE_SET = frozenset(re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), WHITE))
 #: Some engines take these four as white space and some do not; texts that hold them are cut nowhere.
 _UNSURE = re.compile("[\x1c-\x1f]")
 _IS_WHITE = re.compile(f"[{WHITE}]")
-LEAF_CHARS = 4096
+LEAF_CHARS = 16_384
 CACHE_ENTRIES = 600_000
 CACHED_CHARS = 48
 
@@ -55,37 +57,35 @@ class TreeEncoder:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, texts: list[str]) -> None:
-        """Encodes all pieces of texts that are not remembered yet, in one call."""
+    def learn(self, pieces: list[list[str]]) -> None:
+        """Encodes all pieces that are not remembered yet, many in one call."""
         if len(self.pieces) > CACHE_ENTRIES:  # frequent pieces come early: the first half stays
             self.pieces = dict(islice(self.pieces.items(), CACHE_ENTRIES // 2))
-        fresh = [x for x in set().union(*map(_PIECE.findall, texts)) if x not in self.pieces and len(x) <= CACHED_CHARS]
-        lead = [x for x in fresh if _IS_WHITE.match(x) and not _IS_WHITE.match(x[-1])]
-        for i in range(0, len(lead), 4096):
+        fresh = [x for x in set().union(*pieces).difference(self.pieces) if len(x) <= CACHED_CHARS]
+        lead = [x for x in fresh if x[0] in _WHITE_SET and x[-1] not in _WHITE_SET]
+        for i in range(0, len(lead), 8192):
             # each starts with white space after a non-space character, so one text of them all has the same ids
-            part = lead[i : i + 4096]
-            ids = self.plain(["".join(part)])[0]
-            ends = np.searchsorted(np.cumsum(self.width_table[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
-            raw, last = ids.tobytes(), 0
-            for x, end in zip(part, (ends * 4).tolist(), strict=True):
-                self.pieces[x] = raw[last:end]
-                last = end
+            part = lead[i : i + 8192]
+            text = "".join(part)
+            ids = self.plain([text])[0]
+            sizes = list(map(len, part if text.isascii() else map(str.encode, part)))
+            ends = ((np.searchsorted(np.cumsum(self.width_table[ids]), np.cumsum(sizes)) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.pieces.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         rest = [x for x in fresh if x not in self.pieces]
         self.pieces.update(zip(rest, (x.tobytes() for x in self.plain(rest)), strict=True))
 
-    def by_pieces(self, text: str) -> np.ndarray:
-        get = self.pieces.get
+    def by_pieces(self, text: str, found: list[str] | None = None) -> np.ndarray:
+        found = _PIECE.findall(text) if found is None else found
         try:
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, _PIECE.findall(text))), np.uint32)
+            return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.uint32)
         except KeyError:
-            pass
-        parts = []
-        for x in _PIECE.findall(text):
-            if (ids := get(x)) is None:
-                ids = (self.tree(x) if len(x) > self.leaf_chars else self.plain([x])[0]).tobytes()
+            parts = list(map(self.pieces.get, found))
+        for i, x in enumerate(found):
+            if parts[i] is None:
+                parts[i] = (self.tree(x) if len(x) > self.leaf_chars else self.plain([x])[0]).tobytes()
                 if len(x) <= CACHED_CHARS:
-                    self.pieces[x] = ids
-            parts.append(ids)
+                    self.pieces[x] = parts[i]
         return np.frombuffer(b"".join(parts), np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
@@ -187,8 +187,9 @@ class TreeEncoder:
         return np.concatenate((left_ids[:back], ids, right_ids[ahead:]))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        self.learn([x for x in texts if not _UNSURE.search(x)])
-        return [self.encode(x) for x in texts]
+        found = [None if _UNSURE.search(x) else _PIECE.findall(x) for x in texts]
+        self.learn([x for x in found if x is not None])
+        return [self.encode(x) if f is None or len(x) > self.leaf_chars else self.by_pieces(x, f) for x, f in zip(texts, found, strict=True)]
 
     def decode_all(self, ids: list[np.ndarray]) -> list[str]:
         return self.library.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
