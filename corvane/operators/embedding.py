@@ -212,6 +212,7 @@ def walk_forward(x: DataFrame, edges: DataFrame, target: DataFrame, dates: DataF
     plan = schedule(dates, config.training.window, config.training.embargo, config.training.refit).join(F.broadcast(dates.select("ordinal", "date")), "ordinal")
     rows = x.join(target.select("date", "ticker", "y"), ["date", "ticker"], "left").select("date", "ticker", F.array(*names).alias("x"), "y")
     left, right = plan.join(rows, "date"), plan.select("refit", "date").distinct().join(edges.select("date", "a", "b", "weight"), "date")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own beside the other side's
 
     def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
         refit = key[0].as_py()

@@ -7,7 +7,7 @@ from corvane.functions.stats import adjusted_kurtosis, adjusted_skew, clipped, m
 from corvane.plans.config import ANNUAL, FEATURES, Features
 
 MIN_DOWN = 20
-YEAR = F.lit(float(ANNUAL) ** 0.5)
+YEAR = float(ANNUAL) ** 0.5
 
 
 def _guarded(value: Column, counted: Column, n: int) -> Column:

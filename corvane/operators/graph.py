@@ -54,7 +54,7 @@ def _dense(table: pa.Table) -> tuple[object, list[str], np.ndarray]:
 def _pair_table(date, tickers: list[str], matrix: np.ndarray, name: str) -> dict:
     i, j = np.triu_indices(len(tickers), 1)
     names = np.array(tickers, object)
-    return {"date": pa.array([date] * len(i), pa.date32()), "a": names[i], "b": names[j], name: matrix[i, j]}
+    return {"date": pa.array([date] * len(i), pa.date32()), "a": pa.array(names[i], pa.string()), "b": pa.array(names[j], pa.string()), name: matrix[i, j]}
 
 
 def correlations(windows: DataFrame, settings: Graph) -> DataFrame:
@@ -162,7 +162,7 @@ def component_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         dates = left.column("date").slice(0, 1).to_pylist() * len(names)
         return pa.table({"date": pa.array(dates, pa.date32()), "node": names, "label": [root(x) for x in names]})
 
-    real = edges.filter("weight <> 0").select("date", "a", "b")
+    real = edges.filter("weight <> 0").select(*[F.col(c).alias(c) for c in ("date", "a", "b")])
     return nodes.groupBy("date").cogroup(real.groupBy("date")).applyInArrow(run, "date date, node string, label string")
 
 

@@ -127,7 +127,7 @@ def all_pairs(windows: DataFrame, settings: Information) -> DataFrame:
         mine = np.arange(len(i)) % CHUNKS == key[1].as_py()
         i, j = i[mine], j[mine]
         names = np.array(tickers, object)
-        return pa.table({"date": pa.array([date] * len(i), pa.date32()), "a": names[i], "b": names[j], "mi": np.array([estimate(window[:, a], window[:, b], **more) for a, b in zip(i, j, strict=True)], float)})
+        return pa.table({"date": pa.array([date] * len(i), pa.date32()), "a": pa.array(names[i], pa.string()), "b": pa.array(names[j], pa.string()), "mi": np.array([estimate(window[:, a], window[:, b], **more) for a, b in zip(i, j, strict=True)], float)})
 
     shares = windows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
     return shares.groupBy("rebal", "share").applyInArrow(run, "date date, a string, b string, mi double")

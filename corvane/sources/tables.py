@@ -125,7 +125,7 @@ def cached(spark: SparkSession, folder: str, digest: str, make: Callable[[], Dat
 
 
 def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
-    """Arrays of .npy and .npz files as path, name, index array<int>, value; files are read by Spark's binary source."""
+    """Arrays of .npy and .npz files as path, name, place array<int>, value; files are read by Spark's binary source."""
 
     def run(batches):
         import io
@@ -140,9 +140,9 @@ def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
                 for name, x in arrays.items():
                     if x.dtype.kind in "fiub":
                         index = np.argwhere(np.ones(x.shape, bool)).tolist()
-                        yield pa.RecordBatch.from_pydict({"path": [path] * x.size, "name": [name] * x.size, "index": pa.array(index, pa.list_(pa.int32())), "value": x.astype(float).ravel()})
+                        yield pa.RecordBatch.from_pydict({"path": [path] * x.size, "name": [name] * x.size, "place": pa.array(index, pa.list_(pa.int32())), "value": x.astype(float).ravel()})
 
-    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, "path string, name string, index array<int>, value double")
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, "path string, name string, place array<int>, value double")
 
 
 def fetch(download: Callable[[list[str]], DataFrame | None], batch: list[str], retries: int = 3, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame | None:
