@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corvane.llm.session import cut, documents, scaled
 
 SAMPLES = 32
+AT_ONCE = 4
 PART_BYTES = 6 << 20
 RANGE_IDS = 100_000
 _FIRST = -(2**63)
@@ -30,9 +31,9 @@ def _uniform(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)).cast("double") + 0.5) * _UNIT
 
 
-def sample(word: Column, log_weight: Column, k: int) -> Column:
-    """The packed key of a word's sample k: 32 bits of the key's logarithm, then 31 bits that name (word, t)."""
-    one, two = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
+def sample(word: Column, log_weight: Column, seed: Column) -> Column:
+    """The packed key of one of a word's samples: 32 bits of the key's logarithm, then 31 bits that name (word, t)."""
+    one, two = F.xxhash64(word, seed), F.xxhash64(word, seed + 1)
     r = -F.log(_uniform(one, 0) * _uniform(one, 21))
     log_c = F.log(-F.log(_uniform(one, 42) * _uniform(two, 0)))
     b = _uniform(two, 21)
@@ -42,18 +43,28 @@ def sample(word: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(((key + 128) * (1 << 24)).cast("long"), 31).bitwiseOR(name)
 
 
-def bags(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, word (a hash), n: counts of words."""
-    words = texts.select(*keys, F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("word")).filter("word <> ''")
-    return words.select(*keys, F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+def bags(texts: DataFrame, keys: list[str], kinds: int = 1) -> DataFrame:
+    """keys, word (a hash), n0, n1, ...: counts of words in texts of each kind. texts: keys, text, kind where there are several."""
+    words = texts.select(*keys, *(["kind"] if kinds > 1 else [F.lit(0).alias("kind")]), F.explode(F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+")).alias("word")).filter("word <> ''")
+    counts = [F.sum((F.col("kind") == i).cast("int")).alias(f"n{i}") for i in range(kinds)]
+    return words.select(*keys, "kind", F.xxhash64("word").alias("word")).groupBy(*keys, "word").agg(*counts)
 
 
-def signatures(counted: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys, signature: an array of packed samples. counted: keys, word, n."""
-    logged = counted.select(*keys, "word", F.log(F.col("n").cast("double")).alias("w"))
-    packed = logged.select(*keys, *[sample(F.col("word"), F.col("w"), k).alias(f"s{k}") for k in range(samples)])
-    least = packed.groupBy(*keys).agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[f"s{k}" for k in range(samples)]).alias("signature"))
+def signatures(counted: DataFrame, keys: list[str], kinds: int = 1, samples: int = SAMPLES) -> DataFrame:
+    """keys, s0, s1, ...: for each kind an array of packed samples, null without words. counted: keys, word, n0, n1, ...
+
+    A word with equal counts in all kinds is drawn for once. Samples are drawn a few to a row, so that the generated code stays small enough to be compiled.
+    """
+    weights = F.array_distinct(F.array(*[f"n{i}" for i in range(kinds)]))
+    rows = counted.select(*keys, "word", *[f"n{i}" for i in range(kinds)], F.explode(weights).alias("w")).filter("w > 0")
+    rows = rows.select(*keys, "word", F.log(F.col("w").cast("double")).alias("log_w"), *[(F.col(f"n{i}") == F.col("w")).alias(f"in{i}") for i in range(kinds)])
+    rows = rows.select("*", F.explode(F.array(*[F.lit(g) for g in range(samples // AT_ONCE)])).alias("g"))
+    packed = rows.select(*keys, "g", *[f"in{i}" for i in range(kinds)], *[sample(F.col("word"), F.col("log_w"), F.col("g") * (2 * AT_ONCE) + 2 * k).alias(f"p{k}") for k in range(AT_ONCE)])
+    least = packed.groupBy(*keys, "g").agg(*[F.min(F.when(F.col(f"in{i}"), F.col(f"p{k}"))).alias(f"m{i}_{k}") for i in range(kinds) for k in range(AT_ONCE)])
+    parts = [F.array(*[f"m{i}_{k}" for k in range(AT_ONCE)]).alias(f"s{i}") for i in range(kinds)]
+    whole = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("g", *parts))).alias("all"))
+    joined = [F.flatten(F.col(f"all.s{i}")) for i in range(kinds)]
+    return whole.select(*keys, *[F.when(x[0].isNotNull(), x).alias(f"s{i}") for i, x in enumerate(joined)])
 
 
 def fingerprint(signature: Column) -> Column:
@@ -92,7 +103,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     parts = scaled(sizes.agg(F.sum("bytes")).first()[0] or 0, PART_BYTES)
     following = cut(sizes.join(successors(sizes.select("id")), "id").select("id", "next", F.expr("n div 4").alias("take")), "next")
     dealt = rows.repartition(parts, "id")
-    asked = following.groupBy("next").agg(F.max("take").alias("take"), F.first("id").alias("for")).withColumnRenamed("next", "id")
+    # dealt to as many parts, so that the texts are dealt once for both joins
+    asked = following.repartition(parts, "next").groupBy("next").agg(F.max("take").alias("take"), F.first("id").alias("for")).withColumnRenamed("next", "id")
     heads = dealt.join(asked.hint("shuffle_hash"), "id").select(F.col("for").alias("id"), F.substring("text", F.lit(1), F.col("take").cast("int")).alias("head"))
     heads = heads.repartition(parts, "id").groupBy("id").agg(F.min("head").alias("head"))
     joined = dealt.join(heads.hint("shuffle_hash"), "id").withColumn("n", F.char_length("text"))
@@ -104,10 +116,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(i).alias("kind"), x.alias("text")) for i, x in enumerate((F.col("text"), F.col("edited"), note))])
     texts = made.select("id", "row", F.explode(kinds).alias("one")).select("id", "row", F.col("one.kind").alias("kind"), F.col("one.text").alias("text"))
     texts = texts.withColumn("note", F.when(F.col("kind") == 2, F.col("text")))
-    keys = ["id", "row", "kind", "note"]
-    signed = signatures(bags(texts, keys), keys)
-    of = lambda kind, x: F.first(F.when(F.col("kind") == kind, F.col(x)), ignorenulls=True)
-    table = signed.groupBy("id", "row").agg(of(0, "signature").alias("own"), of(1, "signature").alias("changed"), of(2, "note").alias("note"))
+    keys = ["id", "row", "note"]
+    counted = bags(texts, keys, 2)
+    for n in ("n0", "n1"):  # a note counts as a word of both, in a group of its own
+        counted = counted.withColumn(n, F.when(F.col("note").isNull(), F.col(n)).otherwise(1))
+    signed = signatures(counted, keys, 2)
+    only = lambda c: F.max(F.when(F.col("note").isNull(), F.col(c)))
+    table = signed.groupBy("id", "row").agg(only("s0").alias("own"), only("s1").alias("changed"), F.max("note").alias("note"))
     table = cut(table.select("id", "own", "changed", F.split("note", ":").alias("note")), "signatures")
     firsts = table.groupBy("id").agg(F.min("own").alias("following")).withColumnRenamed("id", "next")
     out = table.join(following.select("id", "next"), "id").join(firsts, "next", "left")
@@ -125,9 +140,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, text_key and fingerprint for each distinct (doc_id, text)."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("text_key", F.sha2("text", 256))
-    counted = bags(rows, ["doc_id", "text_key"])
-    out = rows.select("doc_id", "text_key").join(signatures(counted, ["doc_id", "text_key"], samples), ["doc_id", "text_key"], "left")
-    return out.select("doc_id", "text_key", fingerprint(F.col("signature")).alias("fingerprint"))
+    keys = ["doc_id", "text_key"]
+    signed = signatures(bags(rows, keys), keys, 1, samples)
+    out = rows.select(*keys).alias("a").join(signed.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.text_key = b.text_key"), "left")
+    return out.select("a.doc_id", "a.text_key", fingerprint(F.col("s0")).alias("fingerprint"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

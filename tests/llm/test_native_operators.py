@@ -39,11 +39,11 @@ def test_samples_agree_as_often_as_the_weights(spark):
     a, b = "x " * 6 + "y " * 3 + "q", "x " * 3 + "y " * 3 + "z z"
     rows = docs(spark, [a, b])
     counted = fingerprints.bags(rows, ["doc_id"])
-    signed = fingerprints.signatures(counted, ["doc_id"], 64)
+    signed = fingerprints.signatures(counted, ["doc_id"], 1, 64)
     hits = 0
     for trial in range(12):  # words renamed: other hashes
         named = counted.withColumn("word", F.xxhash64("word", F.lit(trial)))
-        one, two = (r.signature for r in fingerprints.signatures(named, ["doc_id"], 64).orderBy("doc_id").collect())
+        one, two = (r.s0 for r in fingerprints.signatures(named, ["doc_id"], 1, 64).orderBy("doc_id").collect())
         hits += sum(x == y for x, y in zip(one, two))
     assert abs(hits / (12 * 64) - 6 / 12) < 0.07
     assert signed.count() == 2
