@@ -9,6 +9,7 @@ Inputs of a score come from the text alone. Null text counts as empty; an empty
 Repeated rows get equal scores. Without labels of both kinds, the score is the share of label 1 (1.0 without labels).
 """
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,14 +151,16 @@ class Network:
         if len(np.unique(y)) < 2 or len(y) < 10:
             return net
         rng = np.random.default_rng(seed)
-        x, y = x.astype(np.float64), y.astype(np.float64)
+        y = y.astype(np.float64)
         order = rng.permutation(len(y))
         aside, used = order[: max(2, len(y) // 5)], order[max(2, len(y) // 5) :]
-        net.mean, net.scale = x[used].mean(0), x[used].std(0) + 1e-3
+        net.mean, net.scale = x[used].mean(0, dtype=np.float64), x[used].std(0, dtype=np.float64) + 1e-3
         net.w1, net.b1 = rng.normal(0, (2 / x.shape[1]) ** 0.5, (x.shape[1], HIDDEN)), np.zeros(HIDDEN)
         net.w2, net.b2 = rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)
+        x_aside = x[aside].astype(np.float64)
         state = {k: (0.0, 0.0) for k in ("w1", "b1", "w2", "b2")}
-        z = (x - net.mean) / net.scale
+        z = x - net.mean.astype(np.float32)  # the sample is held twice, in single precision
+        z /= net.scale.astype(np.float32)
         best, kept, step = np.inf, None, 0
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(used), max(1, len(used) // 64)):
@@ -171,13 +174,13 @@ class Network:
                     m, v = 0.9 * state[k][0] + 0.1 * g, 0.999 * state[k][1] + 0.001 * g * g
                     state[k] = (m, v)
                     setattr(net, k, getattr(net, k) - 3e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8))
-            now = net.loss(x[aside], y[aside], 1.0)
+            now = net.loss(x_aside, y[aside], 1.0)
             if now < best:
                 best, kept = now, {k: getattr(net, k).copy() for k in state}
         for k, v in kept.items():
             setattr(net, k, v)
         grid = np.exp(np.linspace(np.log(0.25), np.log(8), 101))
-        net.temperature = float(grid[np.argmin([net.loss(x[aside], y[aside], t) for t in grid])])
+        net.temperature = float(grid[np.argmin([net.loss(x_aside, y[aside], t) for t in grid])])
         return net
 
     def loss(self, x: np.ndarray, y: np.ndarray, temperature: float) -> float:
@@ -190,9 +193,16 @@ def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_labelled: i
     known = labels.filter(f"not ({HELD_OUT}) and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # max_labelled rows at most
-    rows = document_features(texts, vectors).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).select("features", "quality").toPandas()
-    x = np.frombuffer(b"".join(rows["features"]), np.float32).reshape(-1, FEATURES)
-    return Network.fit(x, rows["quality"].to_numpy())
+    rows = document_features(texts, vectors).orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(max_labelled).select("features", "quality")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b"".join(batch.column("features").to_pylist()), batch.column("quality").to_numpy()) for batch in batches]
+        x = np.frombuffer(b"".join(raw for raw, _ in held), np.float32).reshape(-1, FEATURES)
+        y = np.concatenate([y for _, y in held]) if held else np.zeros(0)
+        yield pa.RecordBatch.from_pydict({"network": pa.array([pickle.dumps(Network.fit(x, y))], pa.binary())})
+
+    # a sample of fixed size is one task's; what comes to the driver is the network alone
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "network binary").first()[0])
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
