@@ -24,8 +24,18 @@ from corvane.llm.session import documents
 
 # Unicode White_Space, as the splitting pattern's \s has it.
 WHITE = "\t-\r \x85\xa0  -     　"
-#: A letter never joins a following mark of these either (a special token's text holds none of them).
-_PIECE = re.compile(f"[{WHITE}]*+[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[.,;:!?%$&#*){WHITE}]|\\Z)|[{WHITE}]*+[^{WHITE}]++|[{WHITE}]++")
+ASCII_WHITE = "\t-\r "
+
+
+def _pieces(white: str, letters: str) -> re.Pattern:
+    """White space and what follows it. A letter never joins a following mark of these either (a special token's text holds none of them)."""
+    return re.compile(f"[{white}]*+[{letters}]++(?=[.,;:!?%$&#*){white}]|\\Z)|[{white}]*+[^{white}]++|[{white}]++")
+
+
+_PIECE = _pieces(WHITE, "A-Za-zÀ-ÖØ-öø-ɏ")
+#: The same for texts without other white space than ASCII's: its classes are plain bitmaps.
+_PIECE_ASCII = _pieces(ASCII_WHITE, "A-Za-zÀ-ÖØ-öø-ÿ")
+_OTHER_WHITE = re.compile("[" + WHITE.replace("\t-\r ", "") + "\x1c-\x1f]")
 _WHITE_SET = frozenset(re.sub("(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), WHITE))
 #: Some engines take these four as white space and some do not; texts that hold them are cut nowhere.
 _UNSURE = re.compile("[\x1c-\x1f]")
@@ -35,6 +45,15 @@ CACHE_ENTRIES = 600_000
 CACHED_CHARS = 48
 
 
+class Remembered(dict):
+    """Ids of pieces; what is asked for and not there is noted in missed, and comes out as None."""
+
+    missed: dict
+
+    def __missing__(self, piece: str) -> None:
+        self.missed[piece] = None
+
+
 class TreeEncoder:
     """Encodes whole texts to arrays of ids, equal to the library's encode(text, add_special_tokens=False)."""
 
@@ -46,7 +65,7 @@ class TreeEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.leaf_chars = leaf_chars
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Remembered()
         special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         # bytes of each token: in a byte-level vocabulary, a character stands for a byte
         size = 1 + max(self.library.get_vocab().values())
@@ -57,12 +76,16 @@ class TreeEncoder:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[list[str]]) -> None:
-        """Encodes all pieces that are not remembered yet, many in one call."""
+    def look_up(self, pieces: list[list[str]]) -> list[list[bytes]]:
+        """Ids of all pieces of some texts. Those that are not remembered are noted in passing, and then encoded, many in one call."""
         if len(self.pieces) > CACHE_ENTRIES:  # frequent pieces come early: the first half stays
-            self.pieces = dict(islice(self.pieces.items(), CACHE_ENTRIES // 2))
-        fresh = [x for x in set().union(*pieces).difference(self.pieces) if len(x) <= CACHED_CHARS]
-        lead = [x for x in fresh if x[0] in _WHITE_SET and x[-1] not in _WHITE_SET]
+            self.pieces = Remembered(islice(self.pieces.items(), CACHE_ENTRIES // 2))
+        new = self.pieces.missed = {}
+        get = self.pieces.__getitem__
+        out = [list(map(get, x)) for x in pieces]
+        if not new:
+            return out
+        lead = [x for x in new if x[0] in _WHITE_SET and x[-1] not in _WHITE_SET and len(x) <= CACHED_CHARS]
         for i in range(0, len(lead), 8192):
             # each starts with white space after a non-space character, so one text of them all has the same ids
             part = lead[i : i + 8192]
@@ -71,33 +94,27 @@ class TreeEncoder:
             sizes = list(map(len, part if text.isascii() else map(str.encode, part)))
             ends = ((np.searchsorted(np.cumsum(self.width_table[ids]), np.cumsum(sizes)) + 1) * 4).tolist()
             raw = ids.tobytes()
-            self.pieces.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        rest = [x for x in fresh if x not in self.pieces]
-        self.pieces.update(zip(rest, (x.tobytes() for x in self.plain(rest)), strict=True))
-
-    def by_pieces(self, text: str, found: list[str] | None = None) -> np.ndarray:
-        found = _PIECE.findall(text) if found is None else found
-        try:
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, found)), np.uint32)
-        except KeyError:
-            parts = list(map(self.pieces.get, found))
-        for i, x in enumerate(found):
-            if parts[i] is None:
-                parts[i] = (self.tree(x) if len(x) > self.leaf_chars else self.plain([x])[0]).tobytes()
-                if len(x) <= CACHED_CHARS:
-                    self.pieces[x] = parts[i]
-        return np.frombuffer(b"".join(parts), np.uint32)
+            new.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        short = [x for x, ids in new.items() if ids is None and len(x) <= self.leaf_chars]
+        new.update(zip(short, (x.tobytes() for x in self.plain(short)), strict=True))
+        for x, ids in new.items():
+            if ids is None:
+                new[x] = self.tree(x).tobytes()
+        self.pieces.update((x, ids) for x, ids in new.items() if len(x) <= CACHED_CHARS)
+        return [[new[x] if ids is None else ids for x, ids in zip(p, o, strict=True)] if None in o else o for p, o in zip(pieces, out, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if _UNSURE.search(text):
-            return self.plain([text])[0]
-        return self.tree(text) if len(text) > self.leaf_chars else self.by_pieces(text)
+        return self.encode_all([text])[0]
 
     # tree concatenation
 
     def leaf(self, text: str) -> np.ndarray:
         """A leaf's own encoding; a leaf without a cut goes to the library as it is."""
-        return self.by_pieces(text) if _IS_WHITE.search(text) else self.plain([text])[0]
+        return self.by_pieces([text])[0] if _IS_WHITE.search(text) else self.plain([text])[0]
+
+    def by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        found = [(_PIECE if _OTHER_WHITE.search(x) else _PIECE_ASCII).findall(x) for x in texts]
+        return [np.frombuffer(b"".join(x), np.uint32) for x in self.look_up(found)]
 
     def tree(self, text: str) -> np.ndarray:
         cuts = list(range(0, len(text), self.leaf_chars)) + [len(text)]
@@ -187,9 +204,18 @@ class TreeEncoder:
         return np.concatenate((left_ids[:back], ids, right_ids[ahead:]))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        found = [None if _UNSURE.search(x) else _PIECE.findall(x) for x in texts]
-        self.learn([x for x in found if x is not None])
-        return [self.encode(x) if f is None or len(x) > self.leaf_chars else self.by_pieces(x, f) for x, f in zip(texts, found, strict=True)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        short = []
+        for i, x in enumerate(texts):
+            if _UNSURE.search(x):
+                out[i] = self.plain([x])[0]
+            elif len(x) > self.leaf_chars:
+                out[i] = self.tree(x)
+            else:
+                short.append(i)
+        for i, ids in zip(short, self.by_pieces([texts[i] for i in short]), strict=True):
+            out[i] = ids
+        return out
 
     def decode_all(self, ids: list[np.ndarray]) -> list[str]:
         return self.library.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)

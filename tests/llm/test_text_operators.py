@@ -1,4 +1,5 @@
 import base64
+import functools
 import gzip
 import hashlib
 import random
@@ -13,6 +14,7 @@ from tests.llm.helpers import AWKWARD, docs, stored
 from corvane.llm import bpe, exact_dedup, secrets, token_files
 
 
+@functools.cache
 def library():
     from tokenizers import Tokenizer
 
