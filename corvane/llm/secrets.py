@@ -2,8 +2,8 @@
 
 The base scan finds three kinds of secrets in the text itself. Then encoded runs are unwrapped: percent escapes, Unicode
 escapes, base64 (plain or URL alphabet) and gzip or zlib data inside it. Each decoded layer is scanned in its turn, and its own encoded runs
-go on the worklist, until nothing new comes out; a layer seen before is not taken again, which ends cycles. Every
-layer carries a map from its characters to the original's, so that a secret found deep inside is reported as the span of original characters
+go on the worklist, until nothing new comes out; a layer of the same text from the same original characters is not taken again, which ends
+cycles, while the same text elsewhere is. Every layer carries a map from its characters to the original's, so that a secret found deep inside is reported as the span of original characters
 it was decoded from.
 
 Null and empty texts have no spans. Texts are scanned whole. Repeated rows give repeated results.
@@ -166,16 +166,23 @@ def scan(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     found = set(base)
     if "%" in text or "\\u" in text or _BASE64.search(text):
+        # by text: the layers below with maps to the text's own characters, and what the base scan finds in each; repeats are only mapped
+        known: dict[str, list[tuple[Layer, list[Span]]]] = {}
         each = np.arange(len(text) + 1, dtype=np.int64)
-        work, seen = [Layer(text, each, each + 1)], {text}
+        work, seen = [Layer(text, each, each + 1)], set()
         while work:
             layer = work.pop()
-            for below in unwrap(layer):
-                if below.text in seen:
+            if layer.text not in known:
+                own = np.arange(len(layer.text) + 1, dtype=np.int64)
+                known[layer.text] = [(x, base_spans(x.text)) for x in unwrap(Layer(layer.text, own, own + 1))]
+            for part, spans in known[layer.text]:
+                below = Layer(part.text, layer.low[part.low], layer.high[part.high - 1])
+                place = (below.text, below.low.tobytes(), below.high.tobytes())
+                if place in seen:
                     continue
-                seen.add(below.text)
+                seen.add(place)
                 work.append(below)
-                found.update((int(below.low[a]), int(below.high[a:b].max()), kind) for a, b, kind in base_spans(below.text))
+                found.update((int(below.low[a]), int(below.high[a:b].max()), kind) for a, b, kind in spans)
     order = lambda x: (x[0], KINDS.index(x[2]), x[1])
     return sorted(base, key=order), sorted(found, key=order)
 

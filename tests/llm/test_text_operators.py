@@ -177,6 +177,14 @@ def test_decoded_span_is_exact_for_escapes():
     assert secrets.scan(text)[1] == [(2, 23, "assign")]
 
 
+@pytest.mark.parametrize("run", ["%70%61ssword=abcdefgh", base64.b64encode(SECRET.encode()).decode(), urllib.parse.quote(base64.b64encode(("é " + base64.b64encode(SECRET.encode()).decode()).encode()).decode(), safe="") + "%20"])
+def test_every_place_of_a_repeated_run_is_reported(run):
+    gap = " é\n"
+    one, three = secrets.scan(run)[1], secrets.scan(gap.join([run] * 3))[1]
+    step = len(run) + len(gap)
+    assert one and three == [(a + k * step, b + k * step, kind) for k in range(3) for a, b, kind in one]
+
+
 def test_scan_ends_on_cycles_and_bad_data():
     for text in ("%2525252525", "A" * 5000, base64.b64encode(b"\x1f\x8b" + b"0" * 40).decode(), "\\ud800\\ud800", "%ff%fe token=abcdefg"):
         secrets.scan(text)
