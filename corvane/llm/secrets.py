@@ -1,7 +1,10 @@
 """Secret scans with a recursive decoding worklist.
 
 The base scan finds three kinds of secrets in the text itself. Then encoded runs are unwrapped: percent escapes, Unicode
-escapes, base64 (plain or URL alphabet) and gzip or zlib data inside it. Each decoded layer is scanned in its turn, and its own encoded runs
+escapes, base64 (plain or URL alphabet) and gzip, zlib or UTF-16 data inside it. Base64 is read at each of the four alignments of a run, as
+paths and words can stand before it without a gap. Runs are scanned alone and in their surroundings, that is with all runs of a kind replaced
+in the text; of a base64 run there, what decodes to printable text up to its end. Bytes that are not UTF-8 stand as characters that
+match nothing. Each decoded layer is scanned in its turn, and its own encoded runs
 go on the worklist, until nothing new comes out; a layer of the same text from the same original characters is not taken again, which ends
 cycles, while the same text elsewhere is. Every layer carries a map from its characters to the original's, so that a secret found deep inside is reported as the span of original characters
 it was decoded from.
@@ -10,8 +13,7 @@ Null and empty texts have no spans. Texts are scanned whole. Repeated rows give
 """
 
 import base64
-import binascii
-import gzip
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ _PERCENT_ONE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
 _UNICODE = re.compile(r"[ -~]*\\u[0-9A-Fa-f]{4}[ -~]*")
 _UNICODE_ONE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WIDE = re.compile(rb"(?:\x00[\x01-\x7f]){6,}|(?:[\x01-\x7f]\x00){6,}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 
 Span = tuple[int, int, str]
 
@@ -54,41 +58,35 @@ class Layer:
         self.text, self.low, self.high = text, low, high
 
 
-def _by_character(raw: bytes, low: np.ndarray, high: np.ndarray) -> Layer | None:
-    """A layer from bytes that have a span each."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    lead = np.frombuffer(raw, np.uint8)
-    first = np.flatnonzero((lead & 0xC0) != 0x80)
-    if not len(first):
-        return None
-    return Layer(text, low[first], np.maximum.reduceat(high, first))
-
+def _by_character(raw: bytes, low: np.ndarray, high: np.ndarray) -> Layer:
+    """A layer from bytes that have a span each; a byte that is not UTF-8 is a lone surrogate, from which it can be had again."""
+    text = raw.decode("utf-8", "surrogateescape")
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    size[(code >= 0xDC80) & (code < 0xDD00)] = 1
+    first = np.cumsum(size) - size
+    return Layer(text, low[first], np.maximum.reduceat(high, first) if len(first) else high[:0])
 
-def _printable(text: str) -> bool:
-    return all(x.isprintable() or x in "\t\r\n" for x in text)
 
-
-def _escaped(layer: Layer, run: re.Match, one: re.Pattern, unescape) -> Layer | None:
-    raw, low, high = bytearray(), [], []
-    for k, part in enumerate(one.split(run.group())):
-        at = run.start() + (0 if not k else at_next)
-        at_next = at - run.start() + len(part)
+def _escaped(layer: Layer, start: int, stop: int, one: re.Pattern, unescape) -> Layer:
+    """The layer's characters start to stop with their escapes decoded."""
+    raw, low, high, at = bytearray(), [], [], start
+    for k, part in enumerate(one.split(layer.text[start:stop])):
         if k % 2:
             data, step = unescape(part)
-            for i, piece in enumerate(data):
-                raw += piece
-                low += [layer.low[at + i * step]] * len(piece)
-                high += [layer.high[at + min((i + 1) * step, len(part)) - 1]] * len(piece)
-        else:
-            for i, x in enumerate(part):
-                piece = x.encode("utf-8", "surrogatepass")
-                raw += piece
-                low += [layer.low[at + i]] * len(piece)
-                high += [layer.high[at + i]] * len(piece)
-    return _by_character(bytes(raw), np.array(low, np.int64), np.array(high, np.int64))
+            sizes = [len(x) for x in data]
+            raw += b"".join(data)
+            each = np.arange(len(data), dtype=np.int64)
+            low.append(np.repeat(layer.low[at + each * step], sizes))
+            high.append(np.repeat(layer.high[at + np.minimum((each + 1) * step, len(part)) - 1], sizes))
+        elif part:
+            piece = part.encode("utf-8", "surrogateescape")
+            raw += piece
+            of = slice(None) if len(piece) == len(part) else np.repeat(np.arange(len(part)), [len(x.encode("utf-8", "surrogateescape")) for x in part])
+            low.append(layer.low[at : at + len(part)][of])
+            high.append(layer.high[at : at + len(part)][of])
+        at += len(part)
+    return _by_character(bytes(raw), np.concatenate(low), np.concatenate(high))
 
 
 def _percent(part: str):
@@ -108,57 +106,103 @@ def _unicode(part: str):
     return out, 6
 
 
-def _inflate(raw: bytes) -> bytes | None:
+def _inflate(raw: bytes) -> tuple[bytes, int]:
+    """What a gzip or zlib stream at the start holds, as far as it is sound, and the bytes taken."""
+    stream, out = zlib.decompressobj(47), []
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return gzip.decompress(raw)
-        if raw[:1] == b"\x78" and len(raw) > 6 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompress(raw)
-    except (OSError, EOFError, zlib.error):
-        pass
-    return None
-
-
-def _base64(layer: Layer, run: re.Match) -> Iterator[Layer]:
+        return stream.decompress(raw) + stream.flush(), len(raw) - len(stream.unused_data)
+    except zlib.error:
+        stream = zlib.decompressobj(47)
+    with contextlib.suppress(zlib.error):
+        for i in range(len(raw)):
+            out.append(stream.decompress(raw[i : i + 1]))
+    return b"".join(out), i + 1
+
+
+def _read(raw: bytes, low: np.ndarray, high: np.ndarray, end: int) -> Iterator[Layer]:
+    """The layers that bytes with a span each hold: text in UTF-8, ASCII text in UTF-16, and compressed data, also within each other.
+
+    end: of the whole run, which is that of data that reach to its last byte.
+    """
+    work, seen = [(raw, low, high, end)], set()
+    while work:
+        raw, low, high, end = work.pop()
+        yield _by_character(raw, low, high)
+        for m in _WIDE.finditer(raw):
+            of = slice(m.start() + (m.group()[0] == 0), m.end(), 2)
+            pair = np.arange(m.start(), m.end(), 2)
+            yield _by_character(raw[of], low[pair], high[pair + 1])
+        past = 0
+        for m in _PACKED.finditer(raw):
+            if m.start() < past:
+                continue
+            inner, taken = _inflate(raw[m.start() :])
+            past = m.start() + taken
+            first, last = int(low[m.start()]), end if past == len(raw) else int(high[past - 1])
+            if inner and (inner, first, last) not in seen:
+                seen.add((inner, first, last))
+                work.append((inner, np.full(len(inner), first), np.full(len(inner), last), last))
+
+
+def _base64(layer: Layer, run: re.Match) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """For each alignment: the place of its first character, the bytes and their spans in the layer's own characters."""
     body = run.group().rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        body = body[:-1]
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    start, stop = run.start(), run.end()
-    if (inflated := _inflate(raw)) is not None:
-        while (deeper := _inflate(inflated)) is not None and deeper != inflated:
-            inflated = deeper
-        n = len(inflated)
-        found = _by_character(inflated, np.full(n, layer.low[start]), np.full(n, layer.high[stop - 1]))
-        if found is not None:
-            yield found
-        return
-    if not raw or raw[0] & 0xC0 == 0x80 or b"\x00" in raw:
-        return
-    at = np.arange(len(raw))
-    low = layer.low[start + at * 4 // 3]
-    high = layer.high[np.minimum(start + ((at + 1) * 4 + 2) // 3, start + len(body)) - 1]
-    found = _by_character(raw, low, high)
-    if found is not None and _printable(found.text):
-        yield found
+    for k in range(4):
+        some = body[k : len(body) - ((len(body) - k) % 4 == 1)]
+        raw = base64.b64decode(some + "=" * (-len(some) % 4))
+        at, start = np.arange(len(raw)), run.start() + k
+        low, high = start + at * 4 // 3, np.minimum(start + ((at + 1) * 4 + 2) // 3, start + len(some))
+        yield start, raw, low, high
+
+
+def _replaced(layer: Layer, parts: list[tuple[int, int, Layer]]) -> Layer:
+    """The layer with decoded texts in place of the characters start to stop of each part."""
+    text, low, high, at = [], [], [], 0
+    for start, stop, part in [*parts, (len(layer.text), len(layer.text), None)]:
+        text.append(layer.text[at:start])
+        low.append(layer.low[at:start])
+        high.append(layer.high[at:start])
+        if part is not None:
+            text.append(part.text)
+            low.append(part.low)
+            high.append(part.high)
+        at = stop
+    return Layer("".join(text), np.concatenate(low), np.concatenate(high))
+
+
+def _sound_end(layer: Layer, run: re.Match, found: list[tuple[int, bytes, np.ndarray, np.ndarray]]) -> tuple[int, int, Layer] | None:
+    """The longest end of a base64 run, from its start or from behind one of / _ - +, that decodes to printable text."""
+    best = None
+    for start, raw, low, high in found:
+        text = _by_character(raw, low, high)
+        bad = next((i for i in range(len(text.text) - 1, -1, -1) if not (text.text[i].isprintable() or text.text[i] in "\t\r\n")), None)
+        sound = start if bad is None else int(text.high[bad])
+        for at in range(start + (sound - start + 3) // 4 * 4, run.end() - 8, 4):
+            if at == run.start() or layer.text[at - 1] in "/_-+":
+                if best is None or at < best[0]:
+                    from_here = int(np.searchsorted(text.low, at))
+                    best = (at, run.end(), Layer(text.text[from_here:], layer.low[text.low[from_here:]], layer.high[text.high[from_here:] - 1]))
+                break
+    return best
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers one step below."""
     text = layer.text
-    if "%" in text:
-        for run in _PERCENT.finditer(text):
-            if (found := _escaped(layer, run, _PERCENT_ONE, _percent)) is not None:
-                yield found
-    if "\\u" in text:
-        for run in _UNICODE.finditer(text):
-            if (found := _escaped(layer, run, _UNICODE_ONE, _unicode)) is not None:
-                yield found
+    for mark, runs, one, unescape in (("%", _PERCENT, _PERCENT_ONE, _percent), ("\\u", _UNICODE, _UNICODE_ONE, _unicode)):
+        if mark in text and one.search(text):
+            for run in runs.finditer(text):
+                yield _escaped(layer, *run.span(), one, unescape)
+            yield _escaped(layer, 0, len(text), one, unescape)
+    parts = []
     for run in _BASE64.finditer(text):
-        yield from _base64(layer, run)
+        found = list(_base64(layer, run))
+        for _, raw, low, high in found:
+            yield from _read(raw, layer.low[low], layer.high[high - 1], int(layer.high[run.end() - 1]))
+        if (part := _sound_end(layer, run, found)) is not None:
+            parts.append(part)
+    if parts:
+        yield _replaced(layer, parts)
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:

@@ -185,6 +185,36 @@ def test_every_place_of_a_repeated_run_is_reported(run):
     assert one and three == [(a + k * step, b + k * step, kind) for k in range(3) for a, b, kind in one]
 
 
+def b64(raw):
+    return base64.b64encode(raw.encode() if isinstance(raw, str) else raw).decode()
+
+
+@pytest.mark.parametrize(
+    "text,within",
+    [
+        ("https://h.example/p/cGFzc3dvcmQ9aHVudGVyMjIy", "cGFzc3dvcmQ9aHVudGVyMjIy"),
+        *((f"{lead}{b64('password=hunter222')} end", b64("password=hunter222")) for lead in ("a_", "ab-", "abc/", "abcd", "x" * 41)),
+        ("http://x/?q=caf%E9&token=%61bcdefgh", "token=%61bcdefgh"),
+        *((b64(x), b64(x)) for x in (b"\xff\xfe\x00 password=hunter222 \xe9", "a\x00password=hunter222", "\ufeffpassword=hunter222", "\x1b[0m\xa0password=hunter222")),
+        *((b64(x), b64(x)) for x in ("é password=hunter222".encode("utf-16-le"), "é password=hunter222".encode("utf-16-be"), "password=hunter222".encode("utf-16"))),
+        *((f"path/{b64(x)}", b64(x)) for x in (gzip.compress(b"password=hunter222", mtime=0), zlib.compress(b"password=hunter222"), b"head" + gzip.compress(b"password=hunter222", mtime=0) + b"tail")),
+        *((b64(x), b64(x)) for x in (gzip.compress(b"password=hunter222 " * 9, mtime=0)[:-9], gzip.compress(b"none", mtime=0) + gzip.compress(b"password=hunter222", mtime=0), gzip.compress(b"\xe9 password=hunter222", mtime=0))),
+        ("password = %68unter222", "password = %68unter222"),
+        (r"é password=é \u0074oken =\u0020\u0068unter222", r"\u0074oken =\u0020\u0068unter222"),
+        (b64("the password: ") + "hunter222", b64("the password: ") + "hunter222"),
+    ],
+)
+def test_runs_decode_at_any_alignment_in_parts_and_in_place(text, within):
+    at = text.index(within)
+    found = [x for x in secrets.scan(text)[1] if x not in secrets.base_spans(text)]
+    assert any(k == "assign" and at <= a < b <= at + len(within) for a, b, k in found)
+
+
+def test_a_plain_alignment_keeps_exact_spans():
+    text = "p/" + b64("é, password=hunter222;")
+    assert (2 + 5, 2 + 30, "assign") in secrets.scan(text)[1]
+
+
 def test_scan_ends_on_cycles_and_bad_data():
     for text in ("%2525252525", "A" * 5000, base64.b64encode(b"\x1f\x8b" + b"0" * 40).decode(), "\\ud800\\ud800", "%ff%fe token=abcdefg"):
         secrets.scan(text)
