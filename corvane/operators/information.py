@@ -172,7 +172,7 @@ def null_draws(windows: DataFrame, settings: Information, seed: int = 0) -> Data
                 out["mi"].append(estimate(window[:, a], rng.permutation(window[:, b]), **more))
         return pa.table({"date": pa.array([date] * len(out["mi"]), pa.date32()), "pair": pa.array(out["pair"], pa.int64()), "mi": pa.array(out["mi"], pa.float64())})
 
-    shares = windows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+    shares = windows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1)))).repartition(CHUNKS, "rebal", "share")  # few bytes, much work: not to be coalesced
     return shares.groupBy("rebal", "share").applyInArrow(run, "date date, pair long, mi double")
 
 

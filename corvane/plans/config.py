@@ -109,5 +109,4 @@ WEEKLY = Config(
     graph=Graph(k=5, k_sweep=(3, 5, 7)),
     model=Model(hidden=16, embed=4),
     training=Training(window=8, refit=6, epochs=30, patience=10),
-    information=Information(n_perm=10, n_pairs=20),
 )

@@ -683,7 +683,7 @@ def _last_dates(b: Base, n: int) -> DataFrame:
 
 @query("m04_ksg_mi")
 def _(b):
-    return information.all_pairs(_last_dates(b, 2), b.config.information)
+    return information.all_pairs(b.windows, b.config.information)
 
 
 @query("m05_all_pairs", "SELECT date, a, b, mi FROM mi", "mi")

@@ -5,8 +5,10 @@ import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from corvane.plans.base import base
 from corvane.plans.queries import ORACLES, QUERIES
 
 
@@ -58,6 +60,15 @@ def test_query_without_sql_runs(spark, name):
     assert got
 
 
+def test_nearest_neighbour_information_covers_all_dates_and_draws(spark):
+    folder = "/root/testdata/sf0.001"
+    b = base(spark, folder)
+    got = QUERIES["m04_ksg_mi"](spark, folder).groupBy("date").count().collect()
+    n = {x.rebal: x.n for x in b.windows.groupBy("rebal").agg(F.countDistinct("ticker").alias("n")).collect()}
+    assert len(n) > 2 and {x.date: x["count"] for x in got} == {d: k * (k - 1) // 2 for d, k in n.items()}
+    assert [x.n_draws for x in QUERIES["m11_null_floor"](spark, folder).collect()] == [100 * 200]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
