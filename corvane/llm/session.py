@@ -15,11 +15,13 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that setting is absent (tests on one machine) is a folder of our own made.
+    Only on one machine, where that setting is absent (tests), is a folder of our own made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.environ.get("CORVANE_SHARED_DIR") or os.path.join(tempfile.gettempdir(), "corvane-shared")
     return f"file://{own}"
 
@@ -40,6 +42,10 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Beyond this many, partitions grow instead: a driver keeps a status for each pair of map and reduce task.
+MAX_PARTS = 50_000
+
+
 def scaled(total: int, per_part: int, least: int = 12) -> int:
-    """Number of partitions that keeps each at about per_part units whatever the input."""
-    return max(least, -(-int(total) // per_part))
+    """Number of partitions that keeps each at about per_part units, up to MAX_PARTS of them."""
+    return min(MAX_PARTS, max(least, -(-int(total) // per_part)))

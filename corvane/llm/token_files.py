@@ -4,13 +4,18 @@ A shard holds a range of doc_ids. Its header is followed by the Elias-Fano coded
 (one more than documents, so that select(i) and select(i + 1) bound document i), and the ids in the narrowest
 unsigned type that holds the vocabulary. A boundary costs about 2 + log2(ids / documents) bits, not 64.
 
-Shards are written by the tasks themselves, under a name of the attempt's own, and then renamed: an attempt that dies leaves nothing that is
-read, and one that runs again writes the same bytes. They are read with Spark's binaryFile source.
+Texts are encoded where they are read, and only their ids move: to parts, which are ranges of doc_id with about as many documents each. A part
+is sorted by doc_id and written as one shard after another of bounded size, so that memory does not depend on the part. Rows of one doc_id that
+are more than a part's share (null ones, say) are dealt over the parts that the id spans.
+
+Shards are written by the tasks themselves, under a name of the attempt's own, which the manifest gives: an attempt that dies leaves files that no
+manifest names, and nothing is renamed or overwritten. They are read with Spark's binaryFile source, document by document through select.
 
 Null text counts as empty and has the end id only. Rows are in ascending doc_id order, null ids first;
-rows with equal doc_id follow each other. An empty table writes no documents and reads none.
+rows with equal doc_id follow each other in any order. Other columns are not read. An empty table writes no documents and reads none.
 """
 
+import math
 import struct
 import uuid
 import zlib
@@ -30,7 +35,12 @@ MAGIC = b"CVTK"
 #: magic, version, bytes an id, documents, ids, documents without id at the start, first doc_id, bytes of the two codes
 HEADER = struct.Struct("<4sHHQQQqQQ")
 END_ID = 0
-SHARD_BYTES = 16 << 20
+#: Ids after which a shard is closed.
+SHARD_IDS = 8 << 20
+PART_BYTES = 64 << 20
+MAX_PARTS = 10_000
+#: Leaves of long texts; here ids matter and not how they come about.
+LEAF_CHARS = 1 << 16
 SAMPLE = 128
 
 
@@ -54,20 +64,19 @@ class EliasFano:
         return cls(n, low_bits, np.packbits(bits.astype(np.uint8).ravel(), bitorder="little"), np.packbits(high, bitorder="little"), ones[::SAMPLE].astype("<u8"))
 
     def select(self, i: int) -> int:
-        """Value i: the unary part is searched from the sample before it."""
-        at = int(self.samples[i // SAMPLE])
-        want = i % SAMPLE
-        byte, seen = at // 8, 0
-        bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        bits[: at % 8] = 0
-        while seen + int(bits.sum()) <= want:
-            seen += int(bits.sum())
-            byte += 1
-            bits = np.unpackbits(self.high[byte : byte + 1], bitorder="little")
-        one = byte * 8 + int(np.flatnonzero(bits)[want - seen])
+        """Value i: the unary part is searched from the sample before it, 64 bits at a time."""
+        at, want = int(self.samples[i // SAMPLE]), i % SAMPLE
+        start = at // 8
+        bits = int.from_bytes(self.high[start : start + 8].tobytes(), "little") >> (at % 8) << (at % 8)
+        while (n := bits.bit_count()) <= want:
+            want, start = want - n, start + 8
+            bits = int.from_bytes(self.high[start : start + 8].tobytes(), "little")
+        for _ in range(want):
+            bits &= bits - 1
+        one = start * 8 + (bits & -bits).bit_length() - 1
         first = i * self.low_bits
-        piece = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low_bits]
-        return ((one - i) << self.low_bits) | int((piece.astype(object) << np.arange(self.low_bits)).sum() if self.low_bits else 0)
+        low = int.from_bytes(self.low[first // 8 : (first + self.low_bits + 7) // 8].tobytes(), "little") >> (first % 8)
+        return ((one - i) << self.low_bits) | low & ((1 << self.low_bits) - 1)
 
     def values(self) -> np.ndarray:
         """All values at once."""
@@ -125,55 +134,108 @@ def _target(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(folder)
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Encodes docs and writes shards to folder; gives the manifest: shard, n_docs, n_ids.
+def part_bounds(docs: DataFrame, parts: int) -> tuple[int, list[int]]:
+    """The number of parts for null ids, and the last doc_id of each other part but the last one: fewer numbers than parts, from the id column alone."""
+    counts = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")).first()
+    if not counts["n"]:
+        return 0, []
+    for_null = math.ceil(parts * (counts["n"] - counts["named"]) / counts["n"])
+    others = max(1, parts - for_null)
+    if others == 1 or not counts["named"]:
+        return for_null, []
+    at = [k / others for k in range(1, others)]
+    return for_null, docs.agg(F.percentile_approx("doc_id", at, 4 * others)).first()[0]
 
-    One shuffle: texts are dealt by ranges of doc_id, as the files' order asks for. A task holds one shard's ids, two or four bytes each.
-    """
-    vocabulary = vocabulary or default_vocabulary()
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+def encoded(docs: DataFrame, parts: int, vocabulary: str) -> DataFrame:
+    """part, doc_id, ids (binary, with the end id) of each row of docs."""
+    for_null, bounds = part_bounds(docs, parts)
+    edges = np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(vocabulary)
-        width = 2 if len(coder.width_table) <= 1 << 16 else 4
-        doc_ids, ids = [], []
+        coder = encoder(vocabulary, LEAF_CHARS)
+        kind = id_type(coder)
+        end, turn = np.array([END_ID], kind).tobytes(), TaskContext.get().partitionId()
         for whole in batches:
             for batch in slices(whole):
-                doc_ids += batch.column("doc_id").to_pylist()
-                ids += [np.append(x, END_ID).astype(f"<u{width}") for x in coder.encode_all([x or "" for x in batch.column("text").to_pylist()])]
-        if doc_ids:
-            shard = TaskContext.get().partitionId()
-            raw = pack_shard(doc_ids, ids, width)
+                doc_id = batch.column("doc_id")
+                known, named = doc_id.fill_null(0).to_numpy(), doc_id.is_valid().to_numpy(zero_copy_only=False)
+                first, last = np.searchsorted(edges, known, "left"), np.searchsorted(edges, known, "right")
+                row = np.arange(len(known)) + turn  # the same each time a task runs
+                turn += len(known)
+                part = np.where(named, for_null + first + row % (last - first + 1), row % max(for_null, 1))
+                ids = [x.astype(kind).tobytes() + end for x in coder.encode_all([x or "" for x in batch.column("text").to_pylist()])]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), doc_id, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+
+    return docs.mapInArrow(run, "part int, doc_id long, ids binary")
+
+
+def id_type(coder) -> str:
+    return "<u2" if len(coder.width_table) <= 1 << 16 else "<u4"
+
+
+MANIFEST = pa.schema([("file", pa.string()), ("part", pa.int32()), ("place", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
+
+
+def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, shard_ids: int = SHARD_IDS, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Encodes docs and writes shards to folder; gives the manifest: file, part, place (of the shard in the part), n_docs, n_ids."""
+    vocabulary = vocabulary or default_vocabulary()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MAX_PARTS, scaled(total, part_bytes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(encoder(vocabulary, LEAF_CHARS))
+        part, place, doc_ids, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def write() -> pa.RecordBatch:
+            nonlocal place, doc_ids, ids, n
             store, path = _target(folder)
             store.create_dir(path, recursive=True)
-            own = f"{path}/_part-{shard:08d}-{uuid.uuid4().hex}"
-            with store.open_output_stream(own) as out:
-                out.write(raw)
-            store.move(own, f"{path}/shard-{shard:08d}.tok")
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(ids)], "n_ids": [sum(map(len, ids))]}, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            name = f"{part:08d}-{place:06d}-{uuid.uuid4().hex}.tok"
+            with store.open_output_stream(f"{path}/{name}") as out:
+                out.write(pack_shard(doc_ids, ids, int(kind[-1])))
+            row = pa.RecordBatch.from_pydict({"file": [name], "part": [part], "place": [place], "n_docs": [len(ids)], "n_ids": [n]}, MANIFEST)
+            place, doc_ids, ids, n = place + 1, [], [], 0
+            return row
+
+        for batch in batches:
+            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                doc_ids.append(doc_id)
+                ids.append(np.frombuffer(raw, kind))
+                n += len(ids[-1])
+                if n >= shard_ids:
+                    yield write()
+        if ids:
+            yield write()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(scaled(total, shard_bytes), "doc_id").sortWithinPartitions("doc_id")
-    return cut(ranged.mapInArrow(run, "shard int, n_docs long, n_ids long"), "manifest")
+    dealt = encoded(docs, parts, vocabulary).repartitionById(parts, "part").sortWithinPartitions("doc_id")
+    return cut(dealt.select("doc_id", "ids").mapInArrow(run, "file string, part int, place int, n_docs long, n_ids long"), "manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Documents from the files: doc_id, start, n_tokens, ids_crc32. start counts the ids of all documents before."""
+    schema = pa.schema([("file", pa.string()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                shard = Shard(raw.as_buffer().to_pybytes())
-                starts = shard.bounds.values().astype(np.int64)
-                crc = [zlib.crc32(shard.body[a:b].astype("<u4").tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                arrays = [pa.array([int(path.rpartition("-")[2].removesuffix(".tok"))] * shard.n, pa.int32()), pa.array(shard.doc_ids(), pa.int64()), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
+                shard, at, rows = Shard(raw.as_buffer().to_pybytes()), 0, {"at": [], "n_tokens": [], "ids_crc32": []}
+                for i in range(shard.n):
+                    after = shard.bounds.select(i + 1)
+                    rows["at"].append(at)
+                    rows["n_tokens"].append(after - at)
+                    rows["ids_crc32"].append(zlib.crc32(shard.body[at:after].astype("<u4").tobytes()))
+                    at = after
+                yield pa.RecordBatch.from_pydict({"file": [path.rpartition("/")[2]] * shard.n, "doc_id": shard.doc_ids(), **rows}, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    rows = files.select("path", "content").mapInArrow(run, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # one row a shard: the only unpartitioned window, over the manifest
-    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    bases = manifest.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
-    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.select("path", "content").mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    # the only unpartitioned window is over parts, of which there are MAX_PARTS at most
+    ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", ahead(Window.orderBy("part")).alias("before"))
+    bases = manifest.select("file", "part", ahead(Window.partitionBy("part").orderBy("place")).alias("inside")).join(parts, "part")
+    return rows.join(bases, "file").select("doc_id", (F.col("before") + F.col("inside") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

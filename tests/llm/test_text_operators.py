@@ -34,12 +34,44 @@ def test_tree_concatenation_equals_the_library():
 def test_long_unsplit_text_is_joined_by_windows():
     text = "".join(random.Random(2).choices("abcdefghijklmnopé", k=20_000))
     coder, windows = bpe.TreeEncoder(bpe.default_vocabulary(), leaf_chars=500), []
-    inner = coder.window
-    coder.window = lambda x: windows.append(len(x)) or inner(x)
+    inner = coder.windows
+    coder.windows = lambda xs: windows.extend(map(len, xs)) or inner(xs)
     assert coder.encode(text).tolist() == library().encode(text, add_special_tokens=False).ids
     assert max(windows) < 5_000
 
 
+@pytest.mark.parametrize("piece", ["0123456789", "中文字汉", "-=", "a1", "字，", "ß 1", "ab\n"])
+def test_windows_stay_small_in_texts_of_any_kind(piece):
+    text = "".join(random.Random(3).choices(piece, k=20_000))
+    coder, windows = bpe.TreeEncoder(bpe.default_vocabulary(), leaf_chars=500), []
+    inner = coder.windows
+    coder.windows = lambda xs: windows.extend(map(len, xs)) or inner(xs)
+    assert coder.encode(text).tolist() == library().encode(text, add_special_tokens=False).ids
+    assert len(windows) >= 39 and max(windows) < 5_000
+
+
+def test_a_window_grows_until_both_sides_agree():
+    coder, text = bpe.TreeEncoder(bpe.default_vocabulary(), leaf_chars=500), "word one two " * 200
+    right = coder.encode_leaves([text[500:]])[0]
+    wrong = coder.encode_leaves([text[:500]])[0].copy()
+    wrong[-60:-5] = wrong[0]  # tokens that the window's own differ from
+    asked = []
+    inner = coder.windows
+    coder.windows = lambda xs: asked.extend(map(len, xs)) or inner(xs)
+    coder.join_all([(text, (0, 500, wrong), (500, len(text), right))])
+    assert len(asked) > 1 and sorted(asked) == asked
+
+
+def test_segments_of_long_texts_are_encoded_apart(spark, tmp_path):
+    texts = [x for x in AWKWARD if x] + ["中文。" * 3_000, "<|endoftext|>" * 700, None]
+    frame = docs(spark, texts, [None, 5, 5, *range(len(texts) - 3)])
+    want = sorted((len(x), x.sum()) for x in (np.array(library().encode(x or "", add_special_tokens=False).ids) for x in texts))
+    got = [np.array(x.token_ids) for x in bpe.round_trip(frame, segment_chars=700).collect()]
+    assert sorted((len(x), x.sum()) for x in got) == want
+    assert sorted(x.decoded for x in bpe.round_trip(frame, segment_chars=700).collect()) == sorted(x or "" for x in texts)
+    assert bpe.round_trip(frame.limit(0)).count() == 0
+
+
 def brute_bpe(rows):
     out = {}
     for i, text in rows:
@@ -93,6 +125,22 @@ def test_shard_reads_single_documents():
     assert shard.doc_ids() == [None, *range(-3, 496)]
 
 
+@pytest.mark.parametrize("ids", [[None] * 40 + [7] * 40 + list(range(20)), [-(2**63), 2**63 - 1, None, 0, 5] * 20, [None] * 100])
+def test_token_files_with_null_repeated_and_extreme_ids(spark, tmp_path, ids):
+    texts = [f"text {i} of many {i % 7}" * (i % 5) for i in range(100)]
+    folder = f"file://{tmp_path}/shards"
+    (tmp_path / "shards").mkdir()
+    (tmp_path / "shards" / "00000000-000000-dead.tok").write_bytes(token_files.pack_shard([1], [np.zeros(3, np.uint16)], 2))
+    manifest = token_files.write_shards(docs(spark, texts, ids), folder, shard_ids=300, part_bytes=500)
+    assert manifest.count() > 10 and manifest.agg({"part": "max"}).first()[0] > 5
+    rows = sorted(token_files.read_shards(spark, folder, manifest).collect(), key=lambda x: x.start)
+    sizes = [len(library().encode(x, add_special_tokens=False).ids) + 1 for x in texts]
+    order = lambda x: (x is not None, x or 0)
+    assert [x.doc_id for x in rows] == sorted(ids, key=order)
+    assert sorted((order(x.doc_id), x.n_tokens) for x in rows) == sorted(zip(map(order, ids), sizes, strict=True))
+    assert [x.start for x in rows] == [0, *np.cumsum([x.n_tokens for x in rows])[:-1].tolist()]
+
+
 def brute_dedup(rows):
     groups = {}
     for i, text in rows:
