@@ -37,8 +37,7 @@ HEADER = struct.Struct("<4sHHQQQqQQ")
 END_ID = 0
 #: Ids after which a shard is closed.
 SHARD_IDS = 8 << 20
-PART_BYTES = 64 << 20
-MAX_PARTS = 10_000
+PART_BYTES = 16 << 20
 #: Leaves of long texts; here ids matter and not how they come about.
 LEAF_CHARS = 1 << 16
 SAMPLE = 128
@@ -182,7 +181,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str | None = None, sh
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(MAX_PARTS, scaled(total, part_bytes))
+    parts = scaled(total, part_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = id_type(encoder(vocabulary, LEAF_CHARS))
@@ -231,7 +230,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     rows = files.select("path", "content").mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
-    # the only unpartitioned window is over parts, of which there are MAX_PARTS at most
+    # the only unpartitioned window is over parts, of which there are session.MAX_PARTS at most
     ahead = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", ahead(Window.orderBy("part")).alias("before"))
     bases = manifest.select("file", "part", ahead(Window.partitionBy("part").orderBy("place")).alias("inside")).join(parts, "part")
