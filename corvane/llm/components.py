@@ -12,6 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     Each step is two aggregations and two joins over the links, and is written to the shared folder. Links of a hot node are combined on the
     map side; nothing is gathered on the driver but a count and a checksum. Links of a node to itself give the node a label.
     """
+    links = cut(links, "pairs")  # read for nodes and for links
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None

@@ -40,10 +40,11 @@ def digest_rows(docs: DataFrame) -> DataFrame:
 
 def distinct_digests(rows: DataFrame) -> DataFrame:
     """One row for each digest with its winner; Spark combines on the map side, so a hot digest costs one row a task."""
-    order = F.struct("n_chars", (-F.col("doc_id")).alias("id"), (-F.col("row_id")).alias("row"))
+    # a bitwise complement turns the order of all 64-bit numbers round
+    order = F.struct("n_chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row_id").alias("row"))
     best = rows.groupBy("digest").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("size"))
     return best.select(
-        "digest", F.col("best.n_chars").alias("n_chars"), (-F.col("best.id")).alias("doc_id"), (-F.col("best.row")).alias("row_id"), "size"
+        "digest", F.col("best.n_chars").alias("n_chars"), F.bitwise_not(F.col("best.id")).alias("doc_id"), F.bitwise_not(F.col("best.row")).alias("row_id"), "size"
     )
 
 
@@ -180,19 +181,18 @@ def _look_up(index: pa.Table, new: pa.Table) -> pa.Table:
 def groups_against(history: DataFrame, new: DataFrame) -> DataFrame:
     """Groups of equal texts over the history's and the new digest rows: digest, keep_row, keep_id, group_size."""
     old, fresh = distinct_digests(history), distinct_digests(new)
-    buckets = scaled(history.count(), BUCKET_DIGESTS)
+    buckets = scaled(history.count() + new.count(), BUCKET_DIGESTS)
     index = build_history(old, buckets)
     return index.groupBy("bucket").cogroup(with_bucket(fresh, buckets).groupBy("bucket")).applyInArrow(_look_up, GROUP_SCHEMA)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, row_id (of monotonically_increasing_id).
 
-    The older half by doc_id is the history and the rest is looked up in it.
+    The older half of the rows by doc_id is the history and the rest is looked up in it.
     """
     rows = cut(digest_rows(docs), "digests")
-    ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    middle = (ends["a"] + ends["b"]) // 2 if ends["a"] is not None else 0
+    middle = rows.agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
     groups = groups_against(rows.filter(old), rows.filter(~old)).filter("group_size > 1")
     joined = rows.join(groups, "digest", "left")
@@ -202,11 +202,12 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("row_id") == F.col("keep_row"), F.lit(True)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "row_id",
     )
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return dedup(documents(spark, sf_dir, "doc_id", "text")).drop("row_id")
 
 
 ORACLE = r"""

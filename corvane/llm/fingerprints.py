@@ -1,6 +1,6 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame operations.
 
-A document is a bag of words (A-Z as a-z) with their counts as weights. Sample k draws, for each word, r and c from Gamma(2, 1) and b from (0, 1),
+A document is a bag of words (in lower case) with their counts as weights. Sample k draws, for each word, r and c from Gamma(2, 1) and b from (0, 1),
 all from hashes of the word and k alone; with t = floor(ln(weight) / r + b), the word's key is c * exp(-r * (t - b + 1)), and the
 sample is the (word, t) with the smallest key. Two documents' samples agree with the probability of their generalised Jaccard similarity,
 the sum of minima over the sum of maxima of weights; so the share of agreeing samples estimates it.
@@ -13,16 +13,19 @@ Null text counts as empty. A text without words has the empty fingerprint, which
 (0.0). A null doc_id comes first in the order. Rows that repeat a doc_id are a document each, and follow the next distinct doc_id.
 """
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.session import cut, documents, scaled
+from corvane.llm.session import cut, documents, range_of, scaled
 
 SAMPLES = 32
 AT_ONCE = 4
 PART_BYTES = 6 << 20
 RANGE_IDS = 100_000
-_FIRST = -(2**63)
+#: Stands for null; below all 64-bit numbers.
+_FIRST = Decimal(-(2**63) - 1)
 _UNIT = 1.0 / (1 << 21)
 
 
@@ -79,17 +82,13 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """ids: distinct id. Adds next: the next one in order, the first after the last. Ranges of ids are windows of their own."""
-    ends = ids.agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("id") > _FIRST, F.col("id"))).alias("c")).first()
-    if not ends["n"]:
-        return ids.withColumn("next", F.col("id"))
-    low = ends["c"] if ends["c"] is not None else ends["a"]
-    width = max(1, (ends["b"] - low) // scaled(ends["n"], RANGE_IDS, 1) + 1)
-    ranged = ids.withColumn("range", F.when(F.col("id") > _FIRST, F.floor((F.col("id") - low) / width)).otherwise(-1))
+    """ids: distinct id. Adds next: the next one in order, the first after the last. Ranges of ids, which are quantiles, are windows of their own."""
+    ranged = ids.withColumn("range", range_of(ids, "id", RANGE_IDS))
     firsts = ranged.groupBy("range").agg(F.min("id").alias("first"))
-    after = firsts.select("range", F.lead("first").over(Window.orderBy("range")).alias("after"))  # one row a range
+    by_range = Window.orderBy("range")  # one row a range
+    after = firsts.select("range", F.lead("first").over(by_range).alias("after"), F.first("first").over(by_range).alias("very_first"))
     inside = F.lead("id").over(Window.partitionBy("range").orderBy("id"))
-    return ranged.withColumn("inside", inside).join(after, "range").select("id", F.coalesce("inside", "after", F.lit(ends["a"])).alias("next"))
+    return ranged.withColumn("inside", inside).join(after, "range").select("id", F.coalesce("inside", "after", "very_first").alias("next"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -98,7 +97,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last quarter of its code points replaced by as many of the next document's first.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("id"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_FIRST).cast("decimal(20,0)")).alias("id"), text.alias("text"))
     sizes = cut(rows.groupBy("id").agg(F.max(F.char_length("text")).alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "sizes")
     parts = scaled(sizes.agg(F.sum("bytes")).first()[0] or 0, PART_BYTES)
     following = cut(sizes.join(successors(sizes.select("id")), "id").select("id", "next", F.expr("n div 4").alias("take")), "next")
@@ -127,7 +126,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     firsts = table.groupBy("id").agg(F.min("own").alias("following")).withColumnRenamed("id", "next")
     out = table.join(following.select("id", "next"), "id").join(firsts, "next", "left")
     return out.select(
-        F.when(F.col("id") > _FIRST, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") > F.lit(_FIRST), F.col("id").cast("long")).alias("doc_id"),
         F.col("note")[0].cast("long").alias("n_chars"),
         F.col("note")[1].alias("edited_sha256"),
         fingerprint(F.col("own")).alias("fingerprint"),

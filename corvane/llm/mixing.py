@@ -3,25 +3,33 @@
 Each source's documents are dealt into blocks in doc_id order. With weight w (its share of the slots), block j of a source is released
 at slot floor(j / w) and due by slot ceil((j + 1) / w); each slot goes to the released block with the earliest deadline. So
 after any number of slots, each source has had its share of them to within less than one block, as long as all sources last.
-Weights are whole quotas of a period of slots. The schedule repeats with the period, so one period is planned, whatever the size of the
-input; documents find their slot by block number. No document is dropped: when a source has run out, its slots stay empty and
+Weights are taken exactly, as whole numbers in their ratio; the slots of one period are their sum. The schedule repeats with the period, so one
+period is planned, whatever the size of the input; documents find their slot by block number. No document is dropped: when a source has run out, its slots stay empty and
 the order of the others stands.
 
-Ranks within a source are counted by ranges of doc_id: counts of ranges first, then rows within a range, so that a source which holds a third
-of all rows is not one task. Null sources count as one source, named by the empty text. Null doc_ids come first. Rows that repeat a doc_id
-have ranks of their own. An empty table gives an empty result.
+Ranks within a source are counted by ranges of doc_id, which are quantiles, so that hashed or outlying ids and a source which holds a third of all rows
+are not one task: counts of ranges first, then rows within a range. Null doc_ids come first, dealt into ranges of their own. Null sources
+count as one source, named by the empty text. Rows that repeat a doc_id have ranks of their own. An empty table gives an empty result. Other columns
+pass through in_mixed_order, whatever their names.
 """
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.session import documents, scaled
+from corvane.llm.session import documents, range_of
 
 #: Target weights; a source that is not named has weight 1.
 TARGETS = {"src0": 6.0, "src1": 3.0, "src2": 2.0}
-PERIOD = 1000
+#: Weights need a common denominator of this at most, which bounds the period by the number of sources.
+MAX_DENOMINATOR = 10_000
+#: Up to so many slots and sources, the plan is broadcast; beyond, it is joined by shuffles.
+BROADCAST_ROWS = 200_000
 BLOCK_DOCS = 16
 RANGE_ROWS = 4_000
+NULL_RANGES = 64
 
 _PLAN = """
 aggregate(sequence(0, period - 1), named_struct('given', array_repeat(0L, size(quotas)), 'picks', cast(array() as array<int>)),
@@ -32,14 +40,16 @@ aggregate(sequence(0, period - 1), named_struct('given', array_repeat(0L, size(q
 """
 
 
-def quotas(sources: DataFrame, targets: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
-    """source, quota: whole slots of a period, one at least. sources: a small dimension with a row for each source."""
-    weight = F.lit(1.0)
-    for name, value in (TARGETS if targets is None else targets).items():
-        weight = F.when(F.col("source") == name, F.lit(float(value))).otherwise(weight)
-    weighed = sources.select("source", weight.alias("w"))
-    total = weighed.agg(F.sum("w").alias("total"))
-    return weighed.join(F.broadcast(total), F.lit(True)).select("source", F.greatest(F.lit(1), F.round(F.col("w") * period / F.col("total"))).cast("long").alias("quota"))
+def quotas(sources: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """source, quota: slots of a period, in the exact ratio of the weights. sources: a small dimension with a row for each source."""
+    exact = {k: Fraction(str(v)) for k, v in (TARGETS if targets is None else targets).items()}
+    whole = math.lcm(*[x.denominator for x in exact.values()])
+    if whole > MAX_DENOMINATOR or min(exact.values(), default=1) <= 0:
+        raise ValueError(f"weights must be positive, with a common denominator of {MAX_DENOMINATOR} at most")
+    quota = F.lit(whole)
+    for name, value in exact.items():
+        quota = F.when(F.col("source") == name, F.lit(int(value * whole))).otherwise(quota)
+    return sources.select("source", quota.cast("long").alias("quota"))
 
 
 def plan(shares: DataFrame) -> DataFrame:
@@ -55,30 +65,32 @@ def plan(shares: DataFrame) -> DataFrame:
 def ranks(docs: DataFrame) -> DataFrame:
     """row (docs' columns as a struct), doc_id, source, rank: the place in the source by doc_id, from 0."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"))
-    ends = rows.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    low, width = ends["a"] or 0, max(1, ((ends["b"] or 0) - (ends["a"] or 0)) // scaled(ends["n"], RANGE_ROWS, 1) + 1)
-    rows = rows.withColumn("range", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1)))
+    # null ids have no order among them
+    dealt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(NULL_RANGES)).cast("int") - NULL_RANGES).otherwise(range_of(rows, "doc_id", RANGE_ROWS))
+    rows = rows.withColumn("range", dealt)
     before = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     starts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n")).select("source", "range", F.coalesce(before, F.lit(0)).alias("start"))
     within = F.row_number().over(Window.partitionBy("source", "range").orderBy("doc_id"))
     return rows.withColumn("within", within).join(starts, ["source", "range"]).select("row", "doc_id", "source", (F.col("start") + F.col("within") - 1).alias("rank"))
 
 
-def scheduled(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def scheduled(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """row, doc_id, source, block, slot, release, deadline, place for each row."""
     sources = docs.select(F.coalesce("source", F.lit("")).alias("source")).distinct()
-    shares = quotas(sources, targets, period)
+    shares = quotas(sources, targets)
+    planned = plan(shares)
+    if (shares.agg(F.sum("quota")).first()[0] or 0) <= BROADCAST_ROWS:
+        shares, planned = F.broadcast(shares), F.broadcast(planned)
     ranked = ranks(docs).withColumn("block", F.expr(f"rank div {block_docs}"))
-    timed = ranked.join(F.broadcast(shares), "source").withColumn("k", F.expr("block % quota")).drop("quota")
-    # the plan has a row for each slot of one period
-    slots = timed.join(F.broadcast(plan(shares)), ["source", "k"])
+    timed = ranked.join(shares, "source").withColumn("k", F.expr("block % quota")).drop("quota")
+    slots = timed.join(planned, ["source", "k"])
     shift = "block div quota * period"
     return slots.selectExpr("row", "doc_id", "source", "block", f"{shift} + slot as slot", f"{shift} + release as release", f"{shift} + deadline as deadline", f"rank % {block_docs} as place")
 
 
-def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, source, block, slot, release, deadline, place for each row; reading by (slot, place) gives the mix."""
-    return scheduled(docs.select("doc_id", "source"), targets, block_docs, period).drop("row")
+    return scheduled(docs.select("doc_id", "source"), targets, block_docs).drop("row")
 
 
 def in_mixed_order(docs: DataFrame, parts: int, targets: dict[str, float] | None = None) -> DataFrame:
@@ -91,11 +103,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir, "doc_id", "source"))
 
 
-_CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS.items())
+_CASES = " ".join(f"WHEN '{k}' THEN {int(v)}" for k, v in TARGETS.items())
 ORACLE = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source FROM documents),
-w AS (SELECT source, CASE source {_CASES} ELSE 1.0 END::DOUBLE AS w FROM (SELECT DISTINCT source FROM d)),
-q AS (SELECT source, greatest(1, CAST(round(w * {PERIOD} / (SELECT sum(w) FROM w)) AS BIGINT)) AS q, row_number() OVER (ORDER BY source) AS i FROM w),
+q AS (SELECT source, CAST(CASE source {_CASES} ELSE 1 END AS BIGINT) AS q, row_number() OVER (ORDER BY source) AS i FROM (SELECT DISTINCT source FROM d)),
 a AS (SELECT list(q ORDER BY i) AS qs, CAST(sum(q) AS BIGINT) AS p FROM q),
 s(t, c, pick) AS (
   SELECT CAST(-1 AS BIGINT), list_transform(qs, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM a

@@ -41,16 +41,18 @@ def _table(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def shingle_signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, s1, s2 for each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+    """row_id, doc_id, n_shingles, s1, s2 for each row."""
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(len(x), *signature(x)) for _, x in shingle_sets(batch.column("text"))]
             n, s1, s2 = zip(*found, strict=True) if found else ((), (), ())
-            yield _table({"doc_id": batch.column("doc_id").to_pylist(), "n_shingles": n, "s1": s1, "s2": s2}, schema)
+            ids = {k: batch.column(k).to_pylist() for k in ("row_id", "doc_id")}
+            yield _table({**ids, "n_shingles": n, "s1": s1, "s2": s2}, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "row_id long, doc_id long, n_shingles long, s1 long, s2 long")
 
 
 def _parts_of(tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -187,7 +189,10 @@ SETS = "s1 long, n int, size long, tokens binary"
 
 
 def class_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """One row or more (where a doc_id is repeated) for each chosen class, with its sorted shingles."""
+    """One row or more (where a doc_id is repeated) for each chosen class, with its sorted shingles.
+
+    A class's text is that of its smallest doc_id. Classes that have only null ids are found by their signature among the rows without id.
+    """
     schema = pa.schema([("s1", pa.int64()), ("n", pa.int32()), ("size", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +202,19 @@ def class_sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             if found:
                 yield _table(dict(zip(schema.names, zip(*found, strict=True), strict=True)), schema)
 
-    picked = chosen.select(F.col("least_id").alias("doc_id"), "s1", "size")
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(signature(x)[0], len(x), 0, x.tobytes()) for _, x in shingle_sets(batch.column("text")) if len(x)]
+            if found:
+                yield _table(dict(zip(schema.names, zip(*found, strict=True), strict=True)), schema)
+
+    picked = chosen.filter("least_id is not null").select(F.col("least_id").alias("doc_id"), "s1", "size")
+    unnamed = chosen.filter("least_id is null").select("s1", "size")
     if chosen.count() <= BROADCAST_ROWS:  # three numbers a row; beyond that, texts and picks shuffle by doc_id
-        picked = F.broadcast(picked)
-    rows = docs.select("doc_id", "text").join(picked, "doc_id")
-    return rows.select("text", "s1", "size").mapInArrow(run, SETS)
+        picked, unnamed = F.broadcast(picked), F.broadcast(unnamed)
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("text", "s1", "size").mapInArrow(run, SETS)
+    others = docs.filter("doc_id is null").select("text").mapInArrow(run_all, SETS).drop("size").join(unnamed, "s1")
+    return named.union(others.select(named.columns))
 
 
 RARITY_SQL = "part int, classes binary, counts binary, tokens binary, ranks binary"
@@ -403,9 +416,11 @@ def block_links(sets: DataFrame, blocks: DataFrame, group_docs: int = GROUP_DOCS
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, row_id (of monotonically_increasing_id) and keep_row (of the row that has the component's id) for each row."""
     rows = cut(shingle_signatures(docs), "signatures")
-    classes = rows.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("size"))
-    classes = cut(classes, "classes")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id"))
+    classes = rows.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(least.alias("least"), F.count(F.lit(1)).alias("size"))
+    classes = cut(classes.withColumn("least_id", F.col("least.doc_id")), "classes")
     n_tokens = classes.agg(F.sum("n_shingles")).first()[0] or 0
     chosen = cut(survivors(docs, classes, scaled(n_tokens, PART_TOKENS)), "survivors")
     sets = cut(class_sets(docs, chosen), "sets")
@@ -413,21 +428,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     links = cut(block_links(sets, blocks), "found")
     roots = components(links.select(F.col("s1").alias("a"), F.col("root").alias("b")))
     degree = links.groupBy("s1").agg(F.sum("links").alias("links"))
-    joined = classes.join(roots.withColumnRenamed("node", "s1"), "s1").join(degree, "s1", "left")
-    least = joined.groupBy("label").agg(F.min("least_id").alias("component"))
-    joined = joined.join(least, "label").select("s1", "s2", "component", "links")
-    final = classes.join(joined, ["s1", "s2"], "left").select(
-        "s1", "s2", F.coalesce("component", "least_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")
-    )
+    joined = classes.select("s1", "s2", "least").join(roots.withColumnRenamed("node", "s1"), "s1").join(degree, "s1", "left")
+    heads = joined.groupBy("label").agg(F.min("least").alias("head"))
+    joined = joined.join(heads, "label").select("s1", "s2", "head", "links")
+    final = classes.join(joined, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("head", "least").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     out = rows.join(final.filter("n_links > 0"), ["s1", "s2"], "left")
-    linked = F.col("n_shingles") > 0
+    linked = (F.col("n_shingles") > 0) & F.col("n_links").isNotNull()
     return out.select(
         "doc_id",
         "n_shingles",
-        F.when(linked & F.col("n_links").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+        "row_id",
+        F.when(linked, F.col("head.row_id")).otherwise(F.col("row_id")).alias("keep_row"),
     )
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf_dir, "doc_id", "text"))
+    return jaccard_join(documents(spark, sf_dir, "doc_id", "text")).drop("row_id", "keep_row")

@@ -1,9 +1,12 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a small calibrated network.
 
-Each word bucket has a sparse index vector (one +1, one -1). A word's vector is the sum of the index vectors of the words beside it, over all
-documents. A document is the mean and the root mean square of its words' vectors, the shares of word shapes (whose index vectors are units),
-the share of words that repeat the word before, and its length. A network with one hidden layer, in numpy, is fitted on
-labelled documents; its logit is divided by a temperature that is fitted on a part of them kept aside.
+Each word bucket has a sparse random index vector (as many +1 as -1, at places that differ). A word's vector is the sum of the index vectors of the words
+up to WINDOW places beside it, over all documents, scaled to length one. A document is the mean and the root mean square of its words' vectors, and nothing
+else. A network with one hidden layer, in numpy, is fitted on labelled documents; its logit is divided by a temperature that is fitted on a part
+of them kept aside.
+
+Sums of contexts are made in map tasks of TASK_BYTES of text each and added up in a tree, FAN_IN partial sums to a task, so that neither the traffic nor a task
+grows faster than the input; the vectors have a fixed size.
 
 Inputs of a score come from the text alone. Null text counts as empty; an empty text has zero vectors and gets a score as any other.
 Repeated rows get equal scores. Without labels of both kinds, the score is the share of label 1 (1.0 without labels).
@@ -18,100 +21,120 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.session import documents
-from corvane.llm.textops import U, mix, text_chunks, word_hashes, word_spans
+from corvane.llm.session import documents, scaled
+from corvane.llm.textops import U, mix, text_chunks, word_hashes
 
 BUCKETS = 1 << 15
-DIMENSIONS = 32
+DIMENSIONS = 128
+#: Nonzero places of an index vector, and how far a context reaches to either side.
+NONZERO = 4
+WINDOW = 2
 BLOCKS = 16
-SALTS = 16
+TASK_BYTES = 256 << 20
+FAN_IN = 64
+CHUNK = 256 << 10
 #: Bound of the sample of labelled documents that the network is fitted on: those with the smallest hash of doc_id.
 MAX_LABELLED = 20_000
 HIDDEN = 32
 THRESHOLD = 0.7
 HELD_OUT = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 4) = 2, false)"
 
-_ids = mix(np.arange(BUCKETS, dtype=U), 7)
-PLUS, MINUS = (_ids % U(DIMENSIONS)).astype(np.int64), ((_ids >> U(32)) % U(DIMENSIONS)).astype(np.int64)
+FEATURES = 2 * DIMENSIONS
+
 
-# classes of bytes: lower, upper, digit, full stop or comma, other ASCII, not ASCII
-_CLASS = np.full(256, 4, np.int64)
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[44, 46]], _CLASS[128:] = 0, 1, 2, 3, 5
-_LENGTH = np.minimum(np.searchsorted([1, 3, 7, 14], np.arange(64)), 4)
-SHAPES = 6 * 6 * 5
-FEATURES = 2 * DIMENSIONS + SHAPES + 2
+def index_places(buckets: int = BUCKETS) -> np.ndarray:
+    """The places of each bucket's index vector, all different; +1 and -1 in turn."""
+    hashes = mix(mix(np.arange(buckets, dtype=U), 7)[:, None] ^ mix(np.arange(DIMENSIONS, dtype=U), 8)[None, :], 9)
+    return np.argpartition(hashes, NONZERO, axis=1)[:, :NONZERO].astype(np.int64)
 
 
-def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word buckets, row offsets of words, and where a word and the next are of one row."""
+def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word buckets, and row offsets of words."""
     words, rows = word_hashes(data, offsets)
-    together = np.ones(max(len(words) - 1, 0), bool)
-    ends = rows[1:-1]
-    together[ends[(ends > 0) & (ends < len(words))] - 1] = False
-    return (words >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64), rows, together
+    return (words >> U(64 - BUCKETS.bit_length() + 1)).astype(np.int64), rows
+
+
+def add_contexts(total: np.ndarray, word: np.ndarray, rows: np.ndarray, places: np.ndarray) -> None:
+    """Adds to total (buckets x dimensions, flat) the index vectors of all words beside each word of the same row."""
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    pairs = []
+    for d in range(1, WINDOW + 1):
+        together = owner[d:] == owner[:-d]
+        left, right = word[:-d][together], word[d:][together]
+        pairs += [(left, right), (right, left)]
+    of, beside = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    if len(of):
+        for k in range(NONZERO):
+            found = np.bincount(of * DIMENSIONS + places[beside, k])
+            if k % 2:
+                total[: len(found)] -= found
+            else:
+                total[: len(found)] += found
 
 
 def _context_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BUCKETS * DIMENSIONS, np.int64)
+    total, places = np.zeros(BUCKETS * DIMENSIONS, np.int64), index_places()
     for batch in batches:
         for _, data, offsets in text_chunks(batch.column("text")):
-            word, _, together = _buckets(data, offsets)
-            left, right = word[:-1][together], word[1:][together]
-            for a, b in ((left, right), (right, left)):
-                total += np.bincount(a * DIMENSIONS + PLUS[b], minlength=len(total))
-                total -= np.bincount(a * DIMENSIONS + MINUS[b], minlength=len(total))
-    parts = total.astype("<i8").reshape(BLOCKS, -1)
-    salt = TaskContext.get().partitionId() % SALTS
-    yield pa.RecordBatch.from_pydict({"block": pa.array(range(BLOCKS), pa.int32()), "salt": pa.array([salt] * BLOCKS, pa.int32()), "sums": pa.array([x.astype("<i4").tobytes() if np.abs(x).max(initial=0) < 2**31 else x.tobytes() for x in parts], pa.binary())})
+            add_contexts(total, *_buckets(data, offsets), places)
+    yield _blocks(dict(enumerate(total.reshape(BLOCKS, -1))), TaskContext.get().partitionId())
 
 
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums partial blocks as they come: memory for the blocks of a task, whatever their number of parts."""
-    size, total, salts = BUCKETS * DIMENSIONS // BLOCKS, {}, {}
+def _blocks(parts: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
+    raw = [x.astype("<i4").tobytes() if np.abs(x).max(initial=0) < 2**31 else x.astype("<i8").tobytes() for x in parts.values()]
+    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array(raw, pa.binary())], names=["block", "salt", "sums"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int], np.ndarray]:
+    """Sums of partial blocks as they come: memory for the blocks of a task, whatever their number of parts."""
+    size, total = BUCKETS * DIMENSIONS // BLOCKS, {}
     for batch in batches:
         for block, salt, raw in zip(*(batch.column(k).to_pylist() for k in ("block", "salt", "sums")), strict=True):
-            total.setdefault((block, salt), np.zeros(size, np.int64))
-            total[block, salt] += np.frombuffer(raw, "<i4" if len(raw) == 4 * size else "<i8")
-    keys = sorted(total)
-    yield pa.RecordBatch.from_pydict({"block": pa.array([k[0] for k in keys], pa.int32()), "salt": pa.array([0] * len(keys), pa.int32()), "sums": pa.array([total[k].astype("<i8").tobytes() for k in keys], pa.binary())})
+            mine = total.setdefault((block, salt), np.zeros(size, np.int64))
+            mine += np.frombuffer(raw, "<i4" if len(raw) == 4 * size else "<i8")
+    return total
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (block, salt), x in _added(batches).items():
+        yield _blocks({block: x}, salt)
+
+
+def _unit_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (block, _), x in _added(batches).items():
+        x = x.reshape(-1, DIMENSIONS)
+        x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1)).astype("<f4")
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "vectors"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vectors of all word buckets. Their size is fixed: buckets x dimensions."""
+    spark = docs.sparkSession
     schema = "block int, salt int, sums binary"
-    sums = docs.select("text").mapInArrow(_context_sums, schema)
-    sums = sums.repartition(BLOCKS * 2, "block", "salt").mapInArrow(_add_up, schema)
-    sums = sums.repartition(BLOCKS, "block").mapInArrow(_add_up, schema)
-    total = np.zeros((BLOCKS, BUCKETS * DIMENSIONS // BLOCKS))
-    for row in sums.collect():
-        total[row.block] += np.frombuffer(row.sums, "<i8")
-    total = total.reshape(BUCKETS, DIMENSIONS)
-    return (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1)).astype(np.float32)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = scaled(total, TASK_BYTES, spark.sparkContext.defaultParallelism)
+    sums = docs.select("text").coalesce(parts).mapInArrow(_context_sums, schema)
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
+        sums = sums.withColumn("salt", F.expr(f"salt % {parts}")).repartition(BLOCKS * parts, "block", "salt").mapInArrow(_add_up, schema)
+    found = sums.withColumn("salt", F.lit(0)).repartition(BLOCKS, "block").mapInArrow(_unit_vectors, "block int, vectors binary").collect()  # BLOCKS rows
+    rows = {x.block: np.frombuffer(x.vectors, "<f4") for x in found}
+    return np.concatenate([rows.get(k, np.zeros(BUCKETS * DIMENSIONS // BLOCKS, np.float32)) for k in range(BLOCKS)]).reshape(BUCKETS, DIMENSIONS)
 
 
 def pooled(data: np.ndarray, offsets: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Features of each row of a chunk."""
-    n = len(offsets) - 1
-    out = np.zeros((n, FEATURES), np.float32)
-    word, rows, together = _buckets(data, offsets)
+    """Of each row of a chunk: the mean and the root mean square of its words' vectors."""
+    out = np.zeros((len(offsets) - 1, FEATURES), np.float32)
+    word, rows = _buckets(data, offsets)
     count = np.diff(rows)
-    out[:, -1] = np.log1p(count)
+    having = count > 0
     if not len(word):
         return out
-    starts, ends, _ = word_spans(data, offsets)
-    owner = np.repeat(np.arange(n), count)
-    having = count > 0
-    first = rows[:-1][having]
-    per = count[having, None].astype(np.float32)
+    first, per = rows[:-1][having], count[having, None].astype(np.float32)
     each = vectors[word]
     out[having, :DIMENSIONS] = np.add.reduceat(each, first) / per
     np.square(each, out=each)
-    out[having, DIMENSIONS : 2 * DIMENSIONS] = np.sqrt(np.add.reduceat(each, first) / per)
-    shape = (_CLASS[data[starts]] * 6 + _CLASS[data[ends - 1]]) * 5 + _LENGTH[np.minimum(ends - starts, 63)]
-    shares = np.bincount(owner * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES)
-    out[:, 2 * DIMENSIONS : 2 * DIMENSIONS + SHAPES] = shares / np.maximum(count, 1)[:, None]
-    again = together & (word[1:] == word[:-1])
-    out[:, -2] = np.bincount(owner[1:][again], minlength=n) / np.maximum(count, 1)
+    out[having, DIMENSIONS:] = np.sqrt(np.add.reduceat(each, first) / per)
     return out
 
 
@@ -122,7 +145,7 @@ def document_features(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [x.tobytes() for _, data, offsets in text_chunks(batch.column("text"), 1 << 19) for x in pooled(data, offsets, shared.value)]
+            made = [x.tobytes() for _, data, offsets in text_chunks(batch.column("text"), CHUNK) for x in pooled(data, offsets, shared.value)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x.name) for x in others), pa.array(made, pa.binary())], names=[*(x.name for x in others), "features"])
 
     schema = docs.select(*(x.name for x in others), F.lit(b"").alias("features")).schema
@@ -225,7 +248,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _scores(batch: pa.RecordBatch, vectors: np.ndarray, net: Network) -> np.ndarray:
-    parts = [net.score(pooled(data, offsets, vectors)) for _, data, offsets in text_chunks(batch.column("text"), 1 << 19)]
+    parts = [net.score(pooled(data, offsets, vectors)) for _, data, offsets in text_chunks(batch.column("text"), CHUNK)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

@@ -4,7 +4,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -49,3 +50,24 @@ MAX_PARTS = 50_000
 def scaled(total: int, per_part: int, least: int = 12) -> int:
     """Number of partitions that keeps each at about per_part units, up to MAX_PARTS of them."""
     return min(MAX_PARTS, max(least, -(-int(total) // per_part)))
+
+
+MAX_RANGES = 4_096
+
+
+def range_of(df: DataFrame, column: str, rows_each: int) -> Column:
+    """The number, from 0, of a whole-numbered column's range: ranges hold about rows_each rows (more beyond MAX_RANGES of them), whatever values are like.
+
+    Bounds are approximate quantiles, at most MAX_RANGES numbers, and are searched by halves. Null gives -1.
+    """
+    n = min(MAX_RANGES, scaled(df.agg(F.count(column)).first()[0], rows_each, 1))
+    found = df.agg(F.percentile_approx(column, [k / n for k in range(1, n)], 4 * n)).first()[0] if n > 1 else None
+    bounds = sorted({int(x) for x in found or [] if x >= -(2**63)})
+    if not bounds:
+        return F.when(F.col(column).isNull(), -1).otherwise(0)
+    held = f"array({', '.join(f"bigint('{x}')" for x in bounds)})"
+    middle = "cast((s.low + s.high) div 2 as int)"
+    step = f"if(s.low >= s.high, s, if({held}[{middle}] < {column}, struct({middle} + 1 as low, s.high as high), struct(s.low as low, {middle} as high)))"
+    # the number of bounds below the value
+    below = F.expr(f"aggregate(sequence(1, {len(bounds).bit_length()}), struct(0 as low, {len(bounds)} as high), (s, _) -> {step}, s -> s.low)")
+    return F.when(F.col(column).isNull(), -1).otherwise(below)

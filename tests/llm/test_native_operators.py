@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, docs, stored
 
 from corvane.llm import fingerprints, mixing, url_filter
+from corvane.llm.session import range_of
 
 TEXTS = AWKWARD + ["the quick brown fox jumps over the lazy dog " * 5, "the quick brown fox jumps over the lazy cat " * 5, "z"]
 
@@ -57,18 +58,18 @@ def test_plain_fingerprints_of_equal_texts(spark):
 def test_mix_keeps_every_source_within_a_block(spark):
     n = 6000
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("case when id % 3 = 0 then 'hot' when id % 7 = 0 then null else concat('s', id % 5) end").alias("source"))
-    got = mixing.mix(rows, {"hot": 3.0, "s1": 2.0, "": 0.5}, block_docs=4, period=50).collect()
+    got = mixing.mix(rows, {"hot": 3.0, "s1": 2.0, "": 0.5}, block_docs=4).collect()
     assert sorted(x.doc_id for x in got) == list(range(n))
-    quota = {x.source: x.quota for x in mixing.quotas(rows.select(F.coalesce("source", F.lit("")).alias("source")).distinct(), {"hot": 3.0, "s1": 2.0, "": 0.5}, 50).collect()}
-    period = sum(quota.values())
+    weights = {"hot": 3.0, "s1": 2.0, "": 0.5, **{f"s{i}": 1.0 for i in (0, 2, 3, 4)}}  # deviations are from the target weights
+    total = sum(weights.values())
     slots = {x.slot: x.source for x in got}
     assert all(x.release <= x.slot < x.deadline for x in got)
-    last = {s: max(k for k, v in slots.items() if v == s) for s in quota}
+    last = {s: max(k for k, v in slots.items() if v == s) for s in weights}
     given = Counter()
     for t in range(min(last.values())):
         given[slots[t]] += 1
-        assert all(abs(given[s] - (t + 1) * q / period) < 1 for s, q in quota.items())
-    for s in quota:
+        assert all(abs(given[s] - (t + 1) * w / total) < 1 for s, w in weights.items())
+    for s in weights:
         order = sorted((x.slot, x.place, x.doc_id) for x in got if x.source == s)
         assert [x[2] for x in order] == sorted(x[2] for x in order)
 
@@ -80,6 +81,42 @@ def test_mix_with_nulls_repeats_and_no_rows(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
 
 
+WIDE = [-(2**63), 5, 2**63 - 1, -(2**63) + 1, None, None, 5, 0]
+
+
+def test_mix_with_ids_over_all_numbers_and_clashing_columns(spark):
+    hashed = spark.range(20_000).select(F.xxhash64("id").alias("doc_id"), F.lit("h").alias("source"), F.lit(1).alias("row"), F.lit(2).alias("slot"), F.lit("x").alias("k"))
+    got = mixing.mix(hashed, block_docs=1).orderBy("slot").collect()
+    assert [x.doc_id for x in got] == sorted(x.doc_id for x in got) and len(got) == 20_000
+    assert sorted(map(tuple, mixing.in_mixed_order(hashed, 3).collect())) == sorted(map(tuple, hashed.collect()))
+    got = mixing.mix(docs(spark, ["t"] * len(WIDE), WIDE), block_docs=1).orderBy("slot").collect()
+    assert [x.doc_id for x in got] == [None, None, -(2**63), -(2**63) + 1, 0, 5, 5, 2**63 - 1]
+
+
+def test_ranges_hold_equal_shares_of_any_numbers(spark):
+    rows = spark.range(40_000).select(F.expr("if(id % 4 = 0, xxhash64(id), id)").alias("v"))
+    counts = [x["count"] for x in rows.withColumn("range", range_of(rows, "v", 1_000)).groupBy("range").count().collect()]
+    assert len(counts) == 40 and max(counts) <= 1_500  # a quantile is off by a quarter of a range at most, at either end
+    steps = rows.withColumn("range", range_of(rows, "v", 1_000)).groupBy("range").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("range").collect()
+    assert all(x.b < y.a for x, y in zip(steps, steps[1:], strict=False))
+
+
+def test_weights_without_a_small_denominator_are_refused(spark):
+    with pytest.raises(ValueError):
+        mixing.quotas(spark.createDataFrame([("a",)], "source string"), {"a": 0.123456789})
+
+
+def test_fingerprints_with_ids_over_all_numbers(spark):
+    texts = [f"alpha beta gamma delta word{i}" for i in range(len(WIDE))]
+    got = {x.doc_id: x for x in fingerprints.edited_fingerprints(docs(spark, texts, [x if i != 6 else 6 for i, x in enumerate(WIDE)]).filter("n_chars > 0")).collect()}
+    assert set(got) == {-(2**63), 5, 2**63 - 1, -(2**63) + 1, None, 6, 0}
+    following = {-(2**63): texts[3], -(2**63) + 1: texts[7], 0: texts[1], 5: texts[6], 6: texts[2]}
+    for i, head in following.items():
+        own = texts[WIDE.index(i) if i != 6 else 6]
+        quarter = len(own) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((own[: len(own) - quarter] + head[:quarter]).encode()).hexdigest()
+
+
 def captures(spark, rows):
     return spark.createDataFrame([(i, u, date.fromisoformat(d) if d else None) for i, (u, d) in enumerate(rows)], "id long, url string, fetched_on date")
 

@@ -94,3 +94,13 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert got == label
     assert components.components(spark.createDataFrame([(3, 3)], "a long, b long").filter(F.lit(True))).collect()[0].label == 3
+
+
+def test_classes_without_any_id_keep_their_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words + ["x"]), " ".join(words + ["x", "y"]), "other words than those " * 5]
+    got = ngram_join.jaccard_join(docs(spark, texts, [None, None, 8, None])).collect()
+    assert sorted(x.n_links for x in got) == [0, 2, 2, 2]
+    assert sorted(str(x.component_id) for x in got) == ["8", "8", "8", "None"]
+    got = ngram_join.jaccard_join(docs(spark, texts[:2], [None, None])).collect()
+    assert [x.n_links for x in got] == [1, 1] and len({x.keep_row for x in got}) == 1

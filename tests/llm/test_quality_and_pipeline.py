@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -26,6 +27,41 @@ def test_held_out_accuracy(spark):
     assert np.mean((aside.score - aside.quality) ** 2) < 0.03
 
 
+def bucket(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(quality._buckets(data, np.array([0, len(data)]))[0][0])
+
+
+def test_vectors_and_pooling_by_brute_force(spark, monkeypatch):
+    texts = AWKWARD[:-1] + ["a b a c", "The the THE b\tc\n d"] + ["hot copy of a text"] * 50
+    places = quality.index_places()
+    assert all(len(set(x)) == quality.NONZERO for x in places.tolist())
+    words = [[x.lower() for x in re.split("[ \t\n\x0b\x0c\r]+", t or "") if x] for t in texts]
+    code = {w: bucket(w) for w in {w for row in words for w in row}}
+    sums = {}
+    for row in words:
+        for i, w in enumerate(row):
+            for j in range(max(0, i - quality.WINDOW), min(len(row), i + quality.WINDOW + 1)):
+                if i != j:
+                    mine = sums.setdefault(code[w], np.zeros(quality.DIMENSIONS))
+                    for k, at in enumerate(places[code[row[j]]]):
+                        mine[at] += -1 if k % 2 else 1
+    want = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for k, x in sums.items():
+        want[k] = x / max(np.linalg.norm(x), 1)
+    frame = docs(spark, texts)
+    got = quality.word_vectors(frame.repartition(5))
+    assert np.allclose(got, want, atol=1e-6)
+    monkeypatch.setattr(quality, "TASK_BYTES", 1_000)
+    monkeypatch.setattr(quality, "FAN_IN", 2)  # a tree of several levels
+    assert np.array_equal(got, quality.word_vectors(frame.repartition(40)))
+    pooled = {x.doc_id: np.frombuffer(x.features, np.float32) for x in quality.document_features(frame.select("doc_id", "text"), got).collect()}
+    for i, row in enumerate(words):
+        vectors = np.array([want[code[w]] for w in row]).reshape(-1, quality.DIMENSIONS)
+        brute = np.concatenate((vectors.mean(0), (vectors**2).mean(0) ** 0.5)) if row else np.zeros(quality.FEATURES)
+        assert np.allclose(pooled[i], brute, atol=1e-4)
+
+
 def test_labels_held_out_change_nothing(spark, tmp_path, sf_dir):
     rows, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     turned = labels.withColumn("quality", F.when(F.expr(quality.HELD_OUT), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -73,6 +109,23 @@ def test_pipeline_stage_by_stage(spark, sf_dir, tmp_path, case):
     assert {x.doc_id for x in corpus_pipeline.run(spark, folder).collect()} == set(want)
 
 
+def test_pipeline_decides_by_row(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(40))
+    texts = [long, long + " end", "of its own " * 9, "another one entirely " * 7, long.upper(), "some more words " * 5, long + "\n", None]
+    frame = docs(spark, texts, [None, 5, None, 5, 9, 2**63 - 1, -(2**63), None]).withColumn("_gone", F.lit(1)).withColumn("row", F.lit(2)).withColumn("row_id", F.lit(3)).withColumn("keep_row", F.lit(4))
+    folder = stored(spark, tmp_path, frame)
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = lambda x: sorted((r.text or "", str(r.doc_id)) for r in x.collect())
+    exact = corpus_pipeline.exact(spark, table, folder)
+    assert exact.columns == table.columns
+    assert kept(exact) == sorted((texts[i] or "", str(x)) for i, x in ((6, -(2**63)), (1, 5), (2, None), (3, 5), (4, 9), (5, 2**63 - 1), (7, None)))
+    near = corpus_pipeline.near(spark, table, folder)
+    assert near.columns == table.columns
+    assert kept(near) == sorted((texts[i] or "", str(x)) for i, x in ((6, -(2**63)), (2, None), (3, 5), (5, 2**63 - 1), (7, None)))
+    assert kept(corpus_pipeline.mixed(spark, table, folder)) == kept(table)
+    assert len(corpus_pipeline.encoded(spark, table, folder).collect()) == len(texts)
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     folder = stored(spark, tmp_path, docs(spark, []))
     stored(spark, tmp_path, spark.createDataFrame([], "doc_id long, quality int"), "labels")

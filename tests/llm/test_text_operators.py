@@ -164,6 +164,17 @@ def test_dedup_with_null_and_repeated_ids(spark):
     assert sum(x.kept for x in got) == 2 and {x.group_size for x in got} == {2, 3}
 
 
+def test_dedup_with_ids_over_all_numbers(spark):
+    ids = [-(2**63), 2**63 - 1, -(2**63) + 1, 0, None]
+    for texts in (["a"] * 5, ["a", "b", "a", "b", "c"]):
+        got = exact_dedup.dedup(docs(spark, texts, ids)).collect()
+        for x in got:
+            same = [i for i, t in zip(ids, texts, strict=True) if t == texts[ids.index(x.doc_id)]]
+            assert x.keep_id == min((i for i in same if i is not None), default=None) and x.group_size == len(same)
+    got = exact_dedup.dedup(docs(spark, ["a", "a", "b"], [None] * 3)).collect()
+    assert sum(x.kept for x in got) == 2
+
+
 def test_perfect_hash_is_minimal_and_checks_bytes():
     keys = np.random.default_rng(0).integers(0, 2**63, (5000, 2)).astype(np.uint64)
     hashed = exact_dedup.PerfectHash.load(exact_dedup.PerfectHash.build(keys).dump())
