@@ -3,10 +3,11 @@
 Stages, in order: documents that the quality classifier rejects go; of texts equal but for white space one stays; of documents that five-word
 shingles link at 0.8 or more one stays; the rest is put in the order of the target mix; and is encoded.
 
-A doc_id stands for a document. Null texts count as empty. Other columns pass through unchanged, whatever their names.
+Decisions are by row: rows that repeat a doc_id, or have none, stay or go each for its own text. Rows are told by their place in the
+files that a stage reads. Null texts count as empty. Other columns pass through unchanged, whatever their names.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import bpe, exact_dedup, mixing, ngram_join, quality
@@ -20,21 +21,20 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs but those whose number is in gone (row_id). Their columns are one struct meanwhile, so that no name can clash."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct("*").alias("row"))
+    return rows.join(gone, "row_id", "left_anti").select("row.*")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, one stays: the one with most code points, then the smallest doc_id."""
-    kept = exact_dedup.dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_digest"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("_id"), F.unhex(F.sha2(F.translate(text, exact_dedup.SPACES, ""), 256)).alias("_digest"), F.char_length(text).alias("_n"))
-    held = rows.join(kept, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(F.desc("_n")))  # rows that repeat a doc_id
-    return held.withColumn("_once", once).filter("_once = 1").select("row.*")
+    return without(docs, exact_dedup.dedup(docs).filter("not kept").select("row_id"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id stays."""
-    groups = ngram_join.jaccard_join(docs)
-    gone = groups.filter("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, ngram_join.jaccard_join(docs).filter("row_id <> keep_row").select("row_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
