@@ -53,7 +53,7 @@ def filter_full_history(report: DataFrame, calendar: DataFrame, tolerance: int)
 
 def grid(raw: DataFrame, calendar: DataFrame, kept: DataFrame) -> DataFrame:
     """A row for each session and kept asset, with null where raw has none."""
-    spine = calendar.crossJoin(F.broadcast(kept))  # the panel's rectangle itself
+    spine = calendar.crossJoin(kept)  # the panel's rectangle itself
     return spine.join(raw, ["date", "ticker"], "left")
 
 
@@ -76,8 +76,8 @@ def derive(filled: DataFrame) -> DataFrame:
 def kept_assets(raw: DataFrame, settings: Universe) -> tuple[DataFrame, DataFrame]:
     """The calendar and the assets: filtered before the calendar, so that one bad series sets no session, and again on it."""
     first = filter_universe(coverage(raw, sessions(raw)), settings.min_history, settings.max_missing)
-    calendar = build_calendar(raw.join(F.broadcast(first), "ticker", "left_semi"), settings.min_coverage)
-    report = coverage(raw.join(F.broadcast(first), "ticker", "left_semi"), calendar)
+    calendar = build_calendar(raw.join(first, "ticker", "left_semi"), settings.min_coverage)
+    report = coverage(raw.join(first, "ticker", "left_semi"), calendar)
     kept = filter_universe(report, settings.min_history, settings.max_missing)
     if settings.full_history:
         kept = filter_full_history(report.join(kept, "ticker", "left_semi"), calendar, settings.start_tolerance)

@@ -39,12 +39,47 @@ def fixed_weights(rows: int, columns: int, seed: int) -> list[list[float]]:
     return [[((i * 31 + j * 17 + seed * 7) % 11 - 5) / 10 for j in range(columns)] for i in range(rows)]
 
 
+def corrupted(x: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """date, node, donor, columns: each node of a date gets the features of the node that a shuffle puts in its place. The shuffle orders by a hash, which any engine can make."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("date").cast("string"), F.col("node")))
+    placed = x.withColumn("_place", F.row_number().over(Window.partitionBy("date").orderBy("node"))).withColumn("_turn", F.row_number().over(Window.partitionBy("date").orderBy(key, "node")))
+    given = placed.select("date", F.col("_turn").alias("_place"), F.col("node").alias("donor"), *columns)
+    return placed.select("date", "node", "_place").join(given, ["date", "_place"]).select("date", "node", "donor", *columns)
+
+
+def discriminate(z: DataFrame, judged: DataFrame, columns: list[str], weights: list[list[float]]) -> DataFrame:
+    """date, node, logit = row' W s of judged's rows, with s the squashed mean of z's rows of the date."""
+    summary = z.groupBy("date").agg(*[(1 / (1 + F.exp(-F.avg(c)))).alias(f"_s_{c}") for c in columns])
+    logit = sum((F.col(a) * F.lit(w) * F.col(f"_s_{b}") for a, row in zip(columns, weights, strict=True) for b, w in zip(columns, row, strict=True)), F.lit(0.0))
+    return judged.join(summary, "date").select("date", "node", logit.alias("logit"))
+
+
+def head_loss(z: DataFrame, target: DataFrame, columns: list[str], weights: list[float], bias: float) -> DataFrame:
+    """date, n_known, mse of a linear head over known targets; 0 where none is known. z: date, node, columns; target: date, node, y."""
+    guess = sum((F.col(c) * F.lit(w) for c, w in zip(columns, weights, strict=True)), F.lit(bias))
+    joined = z.join(target, ["date", "node"], "left")
+    return joined.groupBy("date").agg(F.count("y").alias("n_known"), F.coalesce(F.avg((guess - F.col("y")) ** 2), F.lit(0.0)).alias("mse"))
+
+
+def weight_draws(spark, sizes: list[int], seed: int) -> DataFrame:
+    """layer, i, j, w, bound: the weights that a fresh encoder of these sizes starts with."""
+    drawn = Encoder(sizes, 0.0, np.random.default_rng(seed)).weights
+    rows = [(k, i, j, float(x), float((6 / sum(w.shape)) ** 0.5)) for k, w in enumerate(drawn) for (i, j), x in np.ndenumerate(w)]
+    return spark.createDataFrame(rows, "layer int, i int, j int, w double, bound double")
+
+
 def normalise(a: np.ndarray) -> np.ndarray:
     with_loops = a + np.eye(len(a))
     scale = 1 / np.sqrt(np.maximum(with_loops.sum(1), 1e-12))
     return with_loops * scale[:, None] * scale[None, :]
 
 
+def kaiming(rng: np.random.Generator, rows: int, columns: int) -> np.ndarray:
+    """For comparison: uniform weights that keep the variance through a ReLU."""
+    bound = (6 / rows) ** 0.5
+    return rng.uniform(-bound, bound, (rows, columns))
+
+
 def glorot(rng: np.random.Generator, rows: int, columns: int) -> np.ndarray:
     bound = (6 / (rows + columns)) ** 0.5
     return rng.uniform(-bound, bound, (rows, columns))
@@ -209,7 +244,7 @@ def walk_forward(x: DataFrame, edges: DataFrame, target: DataFrame, dates: DataF
     A refit's dates, features and edges meet in one task; their number is set by the schedule, not by the length of history.
     """
     names = [c for c in x.columns if c not in ("date", "ticker")]
-    plan = schedule(dates, config.training.window, config.training.embargo, config.training.refit).join(F.broadcast(dates.select("ordinal", "date")), "ordinal")
+    plan = schedule(dates, config.training.window, config.training.embargo, config.training.refit).join(dates.select("ordinal", "date"), "ordinal")
     rows = x.join(target.select("date", "ticker", "y"), ["date", "ticker"], "left").select("date", "ticker", F.array(*names).alias("x"), "y")
     left, right = plan.join(rows, "date"), plan.select("refit", "date").distinct().join(edges.select("date", "a", "b", "weight"), "date")
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own beside the other side's

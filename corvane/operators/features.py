@@ -62,7 +62,7 @@ def subsample(dates: DataFrame, most: int) -> DataFrame:
     total = dates.agg(F.count(F.lit(1)).alias("n"))
     step = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("i")
     wanted = total.select("n", step).select(F.bround(F.col("i") * (F.col("n") - 1) / max(most - 1, 1)).cast("int").alias("ordinal")).distinct()
-    return dates.join(F.broadcast(wanted), "ordinal", "left_semi")
+    return dates.join(wanted, "ordinal", "left_semi")
 
 
 def standardise(df: DataFrame, columns: list[str], winsor: float = 3.0, by: str = "date") -> DataFrame:
@@ -89,7 +89,7 @@ def feature_names(exclude: tuple[str, ...]) -> list[str]:
 def assemble(features: DataFrame, dates: DataFrame, settings: Features) -> DataFrame:
     """Standardised features of the rebalance dates, null as 0. Cross-sections are apart from each other, so only these dates are standardised."""
     names = feature_names(settings.exclude)
-    rows = features.join(F.broadcast(dates.select("date")), "date", "left_semi").select("date", "ticker", *names)
+    rows = features.join(dates.select("date"), "date", "left_semi").select("date", "ticker", *names)
     out = standardise(rows, names, settings.winsor)
     return out.select("date", "ticker", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
 
@@ -113,9 +113,9 @@ def forward_vol(returns: DataFrame, dates: DataFrame) -> DataFrame:
     """
     spans = dates.select(F.col("date").alias("start"), F.lead("date").over(Window.orderBy("date")).alias("stop"))
     calendar = returns.select("date").distinct()
-    inside = calendar.join(F.broadcast(spans), (F.col("date") > F.col("start")) & (F.col("date") <= F.col("stop"))).select("date", "start")
-    vol = returns.join(F.broadcast(inside), "date").groupBy("start", "ticker").agg((F.stddev_samp("log_ret") * YEAR).alias("y"))
-    every = dates.select("date").crossJoin(F.broadcast(returns.select("ticker").distinct()))
+    inside = calendar.join(spans, (F.col("date") > F.col("start")) & (F.col("date") <= F.col("stop"))).select("date", "start")
+    vol = returns.join(inside, "date").groupBy("start", "ticker").agg((F.stddev_samp("log_ret") * YEAR).alias("y"))
+    every = dates.select("date").crossJoin(returns.select("ticker").distinct())
     return every.join(vol.withColumnRenamed("start", "date"), ["date", "ticker"], "left")
 
 
@@ -127,7 +127,7 @@ def trailing_windows(returns: DataFrame, dates: DataFrame, window: int) -> DataF
     """rebal, t, ticker, r: each rebalance date's last window of returns, as an equi-join on positions. dates: date and pos on the returns' axis."""
     place = F.explode(F.sequence(F.col("pos") - window + 1, F.col("pos"))).alias("pos")
     wanted = dates.select(F.col("date").alias("rebal"), (F.col("pos") - window + 1).alias("_from"), place)
-    return returns.select("pos", "ticker", "r").join(F.broadcast(wanted), "pos").select("rebal", (F.col("pos") - F.col("_from")).alias("t"), "ticker", "r")
+    return returns.select("pos", "ticker", "r").join(wanted, "pos").select("rebal", (F.col("pos") - F.col("_from")).alias("t"), "ticker", "r")
 
 
 def check_windows(dates: DataFrame, window: int) -> None:
@@ -137,11 +137,17 @@ def check_windows(dates: DataFrame, window: int) -> None:
 
 
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
-    """date, nearest: for each left date the nearest right one, the earlier of two as near. Candidates are the two around, found by one ordered pass."""
-    both = left.select("date", F.lit(1).alias("ask")).union(right.select("date", F.lit(0)))
-    order = Window.orderBy("date", "ask")
-    back = F.last(F.when(F.col("ask") == 0, F.col("date")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(F.when(F.col("ask") == 0, F.col("date")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    found = both.select("date", "ask", back.alias("a"), ahead.alias("b")).filter("ask = 1")
-    near = F.when(F.col("b").isNull() | (F.datediff("date", "a") <= F.datediff("b", "date")), F.col("a")).otherwise(F.col("b"))
-    return found.select("date", near.alias("nearest"))
+    """date, nearest: for each left date the nearest right one, the earlier of two as near; null if there is none.
+
+    Dates meet in an equi-join on months; what lies beyond a month's edges comes from the one row that each month has.
+    """
+    month = F.trunc("date", "MM").alias("month")
+    asked, held = left.select("date").distinct().select("date", month), right.select("date").distinct().select(F.col("date").alias("other"), month)
+    ends = held.groupBy("month").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    months = asked.select("month").union(held.select("month")).distinct().join(ends, "month", "left")
+    up, down = (Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in (F.asc("month"), F.desc("month")))
+    edges = months.select("month", F.max("high").over(up).alias("before"), F.min("low").over(down).alias("after"))
+    met = asked.join(held, "month", "left").groupBy("date", "month").agg(F.max(F.when(F.col("other") <= F.col("date"), F.col("other"))).alias("a"), F.min(F.when(F.col("other") >= F.col("date"), F.col("other"))).alias("b"))
+    found = met.join(edges, "month").select("date", F.coalesce("a", "before").alias("a"), F.coalesce("b", "after").alias("b"))
+    later = F.col("a").isNull() | (F.datediff("b", "date") < F.datediff("date", "a"))
+    return left.join(found.select("date", F.when(F.coalesce(later, F.lit(False)), F.col("b")).otherwise(F.col("a")).alias("nearest")), "date", "left").select("date", "nearest")

@@ -68,6 +68,18 @@ def correlations(windows: DataFrame, settings: Graph) -> DataFrame:
     return windows.groupBy("rebal").applyInArrow(run, "date date, a string, b string, c double")
 
 
+def residual_windows(windows: DataFrame, n_factors: int) -> DataFrame:
+    """rebal, t, ticker, r: windows without their first principal components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        date, tickers, window = _dense(table)
+        left = residualise(window, n_factors)
+        t = np.unique(table.column("t").to_numpy())
+        return pa.table({"rebal": pa.array([date] * left.size, pa.date32()), "t": pa.array(np.repeat(t, len(tickers)), pa.int32()), "ticker": tickers * len(t), "r": left.ravel()})
+
+    return windows.groupBy("rebal").applyInArrow(run, "rebal date, t int, ticker string, r double")
+
+
 def spectra(windows: DataFrame, settings: Graph) -> DataFrame:
     """date, shrinkage, mean_corr, top_eigval_frac, n_eigs_above_mp."""
     n_factors, method = settings.n_factors, settings.shrinkage
@@ -83,23 +95,20 @@ def spectra(windows: DataFrame, settings: Graph) -> DataFrame:
     return windows.groupBy("rebal").applyInArrow(run, "date date, shrinkage double, mean_corr double, top_eigval_frac double, n_eigs_above_mp long")
 
 
-def sample_correlations(windows: DataFrame) -> DataFrame:
-    """date, a, b, c by a relational product: pairs meet on date and session."""
-    a, b = windows.select("rebal", "t", F.col("ticker").alias("a"), F.col("r").alias("x")), windows.select("rebal", "t", F.col("ticker").alias("b"), F.col("r").alias("y"))
-    return a.join(b, ["rebal", "t"]).filter("a < b").groupBy(F.col("rebal").alias("date"), "a", "b").agg(F.corr("x", "y").alias("c"))
+def shrinkage_intensity(windows: DataFrame) -> DataFrame:
+    """date, shrinkage from moments, without a matrix: the Ledoit-Wolf closed form. Sums of pairs come from products of sessions (Gram sums), for N < T the N by N ones."""
 
+    def run(table: pa.Table) -> pa.Table:
+        date, tickers, window = _dense(table)
+        x = window - window.mean(axis=0)
+        n, p = x.shape
+        gram = x.T @ x / n if p <= n else x @ x.T / n  # either has the same sum of squares and trace
+        return pa.table({"date": pa.array([date], pa.date32()), "s2": [float((gram**2).sum())], "q": [float(((x**2).sum(1) ** 2).mean())], "tr": [float(np.trace(gram))], "p": [p], "n": [n]})
 
-def shrinkage_intensity(windows: DataFrame) -> DataFrame:
-    """date, shrinkage from moments of pairs, without a matrix: the Ledoit-Wolf closed form."""
-    centred = windows.withColumn("x", F.col("r") - F.avg("r").over(Window.partitionBy("rebal", "ticker")))
-    a, b = centred.select("rebal", "t", F.col("ticker").alias("a"), "x"), centred.select("rebal", "t", F.col("ticker").alias("b"), F.col("x").alias("y"))
-    pair = a.join(b, ["rebal", "t"]).groupBy("rebal", "a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.pow(F.col("x") * F.col("y"), 2)).alias("q"), F.count(F.lit(1)).alias("n"))
-    total = pair.groupBy("rebal").agg(
-        F.sum(F.col("s") ** 2).alias("s2"), F.sum("q").alias("q"), F.sum(F.when(F.col("a") == F.col("b"), F.col("s"))).alias("tr"), F.count_if(F.col("a") == F.col("b")).alias("p"), F.max("n").alias("n")
-    )
-    distance = F.col("s2") - 2 * F.col("tr") / F.col("p") * F.col("tr") + F.col("p") * (F.col("tr") / F.col("p")) ** 2
+    total = windows.groupBy("rebal").applyInArrow(run, "date date, s2 double, q double, tr double, p long, n long")
+    distance = F.col("s2") - F.col("tr") ** 2 / F.col("p")
     noise = (F.col("q") - F.col("s2")) / F.col("n")
-    return total.select(F.col("rebal").alias("date"), F.when(distance > 0, F.least(noise, distance) / distance).otherwise(0.0).alias("shrinkage"))
+    return total.select("date", F.when(distance > 0, F.least(noise, distance) / distance).otherwise(0.0).alias("shrinkage"))
 
 
 def similarity(pairs: DataFrame, kind: str = "signed", column: str = "c") -> DataFrame:
@@ -190,14 +199,12 @@ def jaccard(one: DataFrame, two: DataFrame, dates: DataFrame) -> DataFrame:
 def persistence(edges: DataFrame, dates: DataFrame) -> DataFrame:
     """date, jaccard with the rebalance date before; the first date has none."""
     after = dates.select("date", F.lead("date").over(Window.orderBy("date")).alias("next"))
-    shifted = edges.join(F.broadcast(after), "date").filter("next is not null").select(F.col("next").alias("date"), "a", "b", "weight")
+    shifted = edges.join(after, "date").filter("next is not null").select(F.col("next").alias("date"), "a", "b", "weight")
     return jaccard(edges, shifted, after.filter("next is not null").select(F.col("next").alias("date")))
 
 
-def sweep(pairs: DataFrame, dates: DataFrame, settings: Graph) -> DataFrame:
-    """A row for each k; similarities are ranked once, to the largest k."""
-    nodes = nodes_of(pairs)
-    ranked = ranked_neighbours(similarity(pairs, settings.similarity), max(settings.k_sweep)).persist()
+def sweep(ranked: DataFrame, nodes: DataFrame, dates: DataFrame, settings: Graph) -> DataFrame:
+    """A row for each k. ranked: neighbours to the largest k at least."""
     out = None
     for k in settings.k_sweep:
         edges = knn_edges(ranked, k, settings.symmetrise, settings.weighted)
@@ -210,7 +217,7 @@ def sweep(pairs: DataFrame, dates: DataFrame, settings: Graph) -> DataFrame:
 
 def edge_homophily(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """date, raw, expected, adjusted: share of edges within a label, its value under random mixing, and (raw - expected) / (1 - expected). labels: node, label."""
-    small = F.broadcast(labels.select("node", "label"))
+    small = labels.select("node", "label")
     real = edges.filter("weight <> 0").join(small.toDF("a", "la"), "a").join(small.toDF("b", "lb"), "b")
     raw = real.groupBy("date").agg(F.avg((F.col("la") == F.col("lb")).cast("double")).alias("raw"))
     counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
@@ -221,7 +228,7 @@ def edge_homophily(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def assortativity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """date, assortativity: (tr e - sum a^2) / (1 - sum a^2) of the mixing matrix over both directions of edges."""
-    small = F.broadcast(labels.select("node", "label"))
+    small = labels.select("node", "label")
     real = edges.filter("weight <> 0").join(small.toDF("a", "la"), "a").join(small.toDF("b", "lb"), "b")
     both = real.select("date", "la", "lb").union(real.select("date", "lb", "la"))
     total = both.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("la") == F.col("lb")).cast("double")).alias("tr"))
@@ -256,7 +263,7 @@ def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """date, silhouette: mean over nodes of (b - a) / max(a, b) on Euclidean distance; alone in its label, a node counts 0."""
     d = distances.select("date", "a", "b", F.sqrt("d2").alias("d"))
     both = d.select("date", F.col("a").alias("node"), F.col("b").alias("other"), "d").union(d.select("date", "b", "a", "d"))
-    small = F.broadcast(labels.select("node", "label"))
+    small = labels.select("node", "label")
     mean = both.join(small, "node").join(small.toDF("other", "lo"), "other").groupBy("date", "node", "label", "lo").agg(F.avg("d").alias("d"))
     per = mean.groupBy("date", "node").agg(F.max(F.when(F.col("label") == F.col("lo"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("lo"), F.col("d"))).alias("b"))
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

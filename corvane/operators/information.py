@@ -1,8 +1,10 @@
 """Mutual information of return series: the Gaussian value, binned and nearest-neighbour estimates, entropies, null floor.
 
-Histograms are relational. The nearest-neighbour estimate is numpy in grouped Arrow functions, a task for each date and share of pairs.
+Histograms are products of indicators within a date, then relational. The nearest-neighbour estimate is numpy in grouped Arrow functions, a task for each date and share of pairs.
 """
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from corvane.plans.config import Information
 
 RHO_BOUND = 1 - 1e-12
 CHUNKS = 8
+PAIRS_EACH = 64
 
 
 def gaussian(c: Column) -> Column:
@@ -41,11 +44,27 @@ def entropies(binned: DataFrame) -> DataFrame:
     return counts.withColumn("p", p).groupBy(F.col("rebal").alias("date"), "ticker").agg((-F.sum(F.col("p") * F.log("p"))).alias("h"))
 
 
-def binned(placed: DataFrame, correct: bool = True) -> DataFrame:
-    """date, a, b, mi: the plug-in value less (bx - 1)(by - 1) / 2T over non-empty bins, not under 0."""
-    x = placed.select("rebal", "t", F.col("ticker").alias("a"), F.col("bin").alias("x"))
-    y = placed.select("rebal", "t", F.col("ticker").alias("b"), F.col("bin").alias("y"))
-    joint = x.join(y, ["rebal", "t"]).filter("a < b").groupBy("rebal", "a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+def joint_counts(placed: DataFrame) -> DataFrame:
+    """rebal, a, b, x, y, n: sessions with a in bin x and b in bin y. A date's counts are one product of its indicator matrix with itself, so that only counts move."""
+
+    def run(table: pa.Table) -> pa.Table:
+        frame = table.select(["t", "ticker", "bin"]).to_pandas()
+        wide = frame.pivot(index="t", columns="ticker", values="bin").sort_index(axis=1)
+        names, held = np.array(wide.columns, object), wide.to_numpy()
+        width = int(np.nanmax(held)) + 1
+        marks = (held[:, :, None] == np.arange(width)).reshape(len(held), -1).astype(np.float32)
+        counts = np.rint(marks.T @ marks).astype(np.int64)
+        i, j = np.nonzero(counts)
+        keep = i // width < j // width
+        i, j = i[keep], j[keep]
+        date = pa.array([table.column("rebal")[0].as_py()] * len(i), pa.date32())
+        return pa.table({"rebal": date, "a": pa.array(names[i // width], pa.string()), "b": pa.array(names[j // width], pa.string()), "x": pa.array(i % width, pa.int32()), "y": pa.array(j % width, pa.int32()), "n": counts[i, j]})
+
+    return placed.groupBy("rebal").applyInArrow(run, "rebal date, a string, b string, x int, y int, n long")
+
+
+def binned(joint: DataFrame, correct: bool = True) -> DataFrame:
+    """date, a, b, mi: the plug-in value less (bx - 1)(by - 1) / 2T over non-empty bins, not under 0. joint: joint_counts' rows."""
     w = lambda *c: Window.partitionBy("rebal", "a", "b", *c)
     each = joint.select("*", F.sum("n").over(w()).alias("t"), F.sum("n").over(w("x")).alias("nx"), F.sum("n").over(w("y")).alias("ny"))
     term = F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))
@@ -118,21 +137,29 @@ def estimator_arguments(settings: Information) -> dict:
 
 
 def all_pairs(windows: DataFrame, settings: Information) -> DataFrame:
-    """date, a, b, mi by an estimator on series: each pair once, dealt to tasks by date and share of pairs."""
+    """date, a, b, mi by an estimator on series: each pair once, dealt to tasks by date and share of pairs, of PAIRS_EACH or so."""
+    assets = windows.select("ticker").distinct().count()
+    shares_each = max(1, -(-assets * (assets - 1) // (2 * PAIRS_EACH)))
     estimate, more = estimator(settings.estimator), estimator_arguments(settings)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         date, tickers, window = _dense(table)
         i, j = np.triu_indices(len(tickers), 1)
-        mine = np.arange(len(i)) % CHUNKS == key[1].as_py()
-        i, j = i[mine], j[mine]
+        i, j = i[key[1].as_py() :: shares_each], j[key[1].as_py() :: shares_each]
         names = np.array(tickers, object)
         return pa.table({"date": pa.array([date] * len(i), pa.date32()), "a": pa.array(names[i], pa.string()), "b": pa.array(names[j], pa.string()), "mi": np.array([estimate(window[:, a], window[:, b], **more) for a, b in zip(i, j, strict=True)], float)})
 
-    shares = windows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))))
+    shares = windows.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares_each - 1))))
     return shares.groupBy("rebal", "share").applyInArrow(run, "date date, a string, b string, mi double")
 
 
+def sequence_meta(nmi: DataFrame, excess: DataFrame, floor: float = 0.0) -> DataFrame:
+    """date, mean_mi, mean_nmi, mean_delta, frac_above_null over pairs. excess: date, a, b, delta; floor: the null's 95th percentile."""
+    return nmi.join(excess.select("date", "a", "b", "delta"), ["date", "a", "b"]).groupBy("date").agg(
+        F.avg("mi").alias("mean_mi"), F.avg("nmi").alias("mean_nmi"), F.avg("delta").alias("mean_delta"), F.avg((F.col("mi") > floor).cast("double")).alias("frac_above_null")
+    )
+
+
 def validate(spark, rhos: list[float], settings: Information, t: int = 252, trials: int = 20, seed: int = 0) -> DataFrame:
     """rho, estimator, mi_true, mean, std, bias on Gaussian draws; a task for each rho and trial."""
     estimators = {k: (f, {"n": settings.bins} if k == "binned" else {"k": settings.n_neighbors}) for k, f in ESTIMATORS.items()}
@@ -182,16 +209,22 @@ def null_floor(draws: DataFrame) -> DataFrame:
     return draws.groupBy("date").agg(F.avg("mi").alias("mean"), F.stddev_pop("mi").alias("std"), q(0.95).alias("p95"), q(0.99).alias("p99"), F.count(F.lit(1)).alias("n_draws"))
 
 
-def timing_probe(window: np.ndarray, settings: Information, n_pairs: int = 50, n_dates: int = 1) -> dict:
-    """Seconds for a pair and for all pairs of so many dates, from a timed few."""
-    import time
+def timings(windows: DataFrame, settings: Information, n_dates: int, n_pairs: int = 200) -> DataFrame:
+    """date, estimator, assets, pair_s (seconds for a pair, from n_pairs timed on a window), total_s (for all pairs of n_dates such windows)."""
+    more = {k: estimator_arguments(replace(settings, estimator=k)) for k in ESTIMATORS}
 
-    estimate, more = estimator(settings.estimator), estimator_arguments(settings)
-    rng = np.random.default_rng(0)
-    n = window.shape[1]
-    began = time.perf_counter()
-    for _ in range(n_pairs):
-        a = int(rng.integers(n))
-        estimate(window[:, a], window[:, (a + 1) % n], **more)
-    each = (time.perf_counter() - began) / n_pairs
-    return {"pair_s": each, "total_s": each * n * (n - 1) / 2 * n_dates}
+    def run(table: pa.Table) -> pa.Table:
+        import time
+
+        date, tickers, window = _dense(table)
+        rng, rows = np.random.default_rng(0), []
+        for name, estimate in ESTIMATORS.items():
+            began = time.perf_counter()
+            for _ in range(n_pairs):
+                a = int(rng.integers(len(tickers)))
+                estimate(window[:, a], window[:, (a + 1) % len(tickers)], **more[name])
+            each = (time.perf_counter() - began) / n_pairs
+            rows.append({"date": date, "estimator": name, "assets": len(tickers), "pair_s": each, "total_s": each * len(tickers) * (len(tickers) - 1) / 2 * n_dates})
+        return pa.Table.from_pylist(rows, pa.schema([("date", pa.date32()), ("estimator", pa.string()), ("assets", pa.int32()), ("pair_s", pa.float64()), ("total_s", pa.float64())]))
+
+    return windows.groupBy("rebal").applyInArrow(run, "date date, estimator string, assets int, pair_s double, total_s double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,10 +81,15 @@ class Base:
         on_returns = self.dates.select("date", (F.col("pos") - 1).alias("pos"))
         return self.store(features.trailing_windows(self.returns, on_returns, self.config.graph.window))
 
+    @cached_property
+    def residuals(self) -> DataFrame:
+        """windows without their first principal components: what graphs and information are made from."""
+        return self.store(graph.residual_windows(self.windows, self.config.graph.n_factors))
+
     @cached_property
     def corr(self) -> DataFrame:
-        """Sample correlations without market removal, which every engine can compute."""
-        return self.store(graph.sample_correlations(self.windows))
+        """Shrunk correlations of residuals."""
+        return self.store(graph.correlations(self.residuals, replace(self.config.graph, n_factors=0)))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -108,11 +114,15 @@ class Base:
 
     @cached_property
     def binned(self) -> DataFrame:
-        return self.store(information.bins(self.windows, self.config.information.bins, self.config.information.scheme))
+        return self.store(information.bins(self.residuals, self.config.information.bins, self.config.information.scheme))
+
+    @cached_property
+    def joint(self) -> DataFrame:
+        return self.store(information.joint_counts(self.binned))
 
     @cached_property
     def nmi(self) -> DataFrame:
-        return self.store(information.normalised(information.binned(self.binned), information.entropies(self.binned)))
+        return self.store(information.normalised(information.binned(self.joint), information.entropies(self.binned)))
 
 
 _bases: dict[tuple, Base] = {}

@@ -103,6 +103,18 @@ class Config:
         return replace(base, **{k: replace(getattr(base, k), **part) for k, part in clean.items()})
 
 
+def read_settings(text: str) -> dict[str, dict]:
+    """Settings as from_dict takes them, from JSON, or from YAML if PyYAML is there."""
+    try:
+        return json.loads(text)
+    except json.JSONDecodeError:
+        try:
+            import yaml
+        except ImportError as error:
+            raise ValueError("settings are no JSON, and PyYAML is not there to read others") from error
+        return yaml.safe_load(text)
+
+
 #: Settings under which the tables at hand make a panel of nations by weeks.
 WEEKLY = Config(
     universe=Universe(min_history=200, max_missing=0.25, start_tolerance=0),

@@ -21,6 +21,10 @@ _STD = ", ".join(
     for c in NAMES
 )
 
+STEPS = 45
+#: Read more than once and costly.
+KEPT = {"raw", "panel", "win", "wc", "pj", "wr", "rc", "lw", "corr", "bin", "jm", "mi", "x", "feat", "edge"}
+
 CTES = {
     "li": "SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, n_name AS ticker, n_regionkey AS label, l_extendedprice AS e, l_quantity AS q, l_shipdate AS sd, l_orderkey AS ok, l_linenumber AS ln FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey",
     "raw": "SELECT date, ticker, label, arg_min(e / q, (sd, ok, ln)) AS open, max(e / q) AS high, min(e / q) AS low, CAST(sum(CAST(e AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(q AS DECIMAL(18,2))) AS DOUBLE) AS close, CAST(sum(CAST(q AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM li GROUP BY date, ticker, label",
@@ -69,7 +73,17 @@ CTES = {
     "long": "SELECT date, ticker, feature, value FROM x UNPIVOT (value FOR feature IN (" + ", ".join(NAMES) + "))",
     "ret": "SELECT date, pos - 1 AS pos, ticker, coalesce(log_ret, 0.0) AS r FROM panel WHERE pos > 0",
     "win": "SELECT b.date AS rebal, r.pos - (b.pos - 1 - 251) AS t, r.ticker, r.r FROM reb b JOIN ret r ON r.pos BETWEEN b.pos - 1 - 251 AND b.pos - 1",
-    "corr": "SELECT a.rebal AS date, a.ticker AS a, b.ticker AS b, corr(a.r, b.r) AS c FROM win a JOIN win b ON a.rebal = b.rebal AND a.t = b.t AND a.ticker < b.ticker GROUP BY 1, 2, 3",
+    # the projector on a window's first principal component: the covariance squared STEPS times, scaled to trace one
+    "wc": "SELECT rebal, t, ticker, r - avg(r) OVER (PARTITION BY rebal, ticker) AS c FROM win",
+    "sc": "SELECT x.rebal, x.ticker AS a, y.ticker AS b, sum(x.c * y.c) AS s FROM wc x JOIN wc y ON x.rebal = y.rebal AND x.t = y.t GROUP BY 1, 2, 3",
+    "sm": "SELECT rebal, list(a ORDER BY a) AS names, list(row ORDER BY a) AS m FROM (SELECT rebal, a, list(s ORDER BY b) AS row FROM sc GROUP BY 1, 2) GROUP BY rebal",
+    "pw": f"SELECT rebal, names, m, 0 AS step FROM sm UNION ALL SELECT rebal, names, list_transform(m, lambda x: list_transform(m, lambda y: list_dot_product(x, y) / total)), step + 1 FROM (SELECT *, list_sum(list_transform(m, lambda z: list_dot_product(z, z))) AS total FROM pw) WHERE step < {STEPS}",
+    "pj": f"SELECT rebal, a, unnest(names) AS b, unnest(row) AS p FROM (SELECT rebal, names, unnest(names) AS a, unnest(m) AS row FROM pw WHERE step = {STEPS})",
+    "wr": "SELECT x.rebal, x.t, x.ticker, any_value(x.c) - sum(y.c * p.p) AS r FROM wc x JOIN pj p ON p.rebal = x.rebal AND p.a = x.ticker JOIN wc y ON y.rebal = x.rebal AND y.t = x.t AND y.ticker = p.b GROUP BY 1, 2, 3",
+    "rc": "SELECT x.rebal, x.ticker AS a, y.ticker AS b, avg(x.r * y.r) AS s FROM wr x JOIN wr y ON x.rebal = y.rebal AND x.t = y.t AND x.ticker <= y.ticker GROUP BY 1, 2, 3",
+    "rq": "SELECT rebal, avg(pow(u, 2)) AS q, count(*) AS n FROM (SELECT rebal, t, sum(r * r) AS u FROM wr GROUP BY 1, 2) GROUP BY rebal",
+    "lw": "SELECT rebal, tr / p AS mu, CASE WHEN d > 0 THEN least((q - s2) / n, d) / d ELSE 0.0 END AS shrinkage FROM (SELECT *, s2 - tr * tr / p AS d FROM (SELECT rebal, sum(CASE WHEN a = b THEN s * s ELSE 2 * s * s END) AS s2, sum(s) FILTER (a = b) AS tr, count(*) FILTER (a = b) AS p FROM rc GROUP BY rebal) JOIN rq USING (rebal))",
+    "corr": "SELECT c.rebal AS date, c.a, c.b, greatest(-1.0, least(1.0, (1 - l.shrinkage) * c.s / sqrt(((1 - l.shrinkage) * x.s + l.shrinkage * mu) * ((1 - l.shrinkage) * y.s + l.shrinkage * mu)))) AS c FROM rc c JOIN lw l USING (rebal) JOIN rc x ON x.rebal = c.rebal AND x.a = c.a AND x.b = c.a JOIN rc y ON y.rebal = c.rebal AND y.a = c.b AND y.b = c.b WHERE c.a < c.b",
     "node": "SELECT DISTINCT date, a AS node FROM corr UNION SELECT date, b FROM corr",
     "dirs": "SELECT date, a AS node, b AS other, c AS s FROM corr UNION ALL SELECT date, b, a, c FROM corr",
     "rk": "SELECT *, row_number() OVER (PARTITION BY date, node ORDER BY s DESC, other) AS rank FROM dirs",
@@ -84,8 +98,8 @@ CTES = {
     "mix": "SELECT * FROM le UNION ALL SELECT date, lb, la FROM le",
     "pd": "SELECT p.date, p.ticker AS a, q.ticker AS b, " + ", ".join(f"pow(p.{c} - q.{c}, 2) AS d_{c}" for c in NAMES) + ", " + " + ".join(f"pow(p.{c} - q.{c}, 2)" for c in NAMES) + " AS d2 FROM x p JOIN x q ON p.date = q.date AND p.ticker < q.ticker",
     "pe": "SELECT pd.*, e.a IS NOT NULL AS on_edge FROM pd LEFT JOIN edge e ON pd.date = e.date AND pd.a = e.a AND pd.b = e.b AND e.weight <> 0",
-    "bed": "SELECT rebal, ticker, list_distinct(quantile_cont(r, [0.0, 1/6, 2/6, 3/6, 4/6, 5/6, 1.0])) AS edges FROM win GROUP BY rebal, ticker",
-    "bin": "SELECT w.rebal, w.t, w.ticker, CASE WHEN len(edges) < 2 THEN 0 ELSE greatest(0, least(len(list_filter(edges, lambda e: e < r)) - 1, len(edges) - 2)) END AS bin FROM win w JOIN bed USING (rebal, ticker)",
+    "bed": "SELECT rebal, ticker, list_distinct(quantile_cont(r, [0.0, 1/6, 2/6, 3/6, 4/6, 5/6, 1.0])) AS edges FROM wr GROUP BY rebal, ticker",
+    "bin": "SELECT w.rebal, w.t, w.ticker, CASE WHEN len(edges) < 2 THEN 0 ELSE greatest(0, least(len(list_filter(edges, lambda e: e < r)) - 1, len(edges) - 2)) END AS bin FROM wr w JOIN bed USING (rebal, ticker)",
     "ent": "SELECT rebal AS date, ticker, -sum(p * ln(p)) AS h FROM (SELECT rebal, ticker, bin, count(*) / sum(count(*)) OVER (PARTITION BY rebal, ticker) AS p FROM bin GROUP BY 1, 2, 3) GROUP BY 1, 2",
     "joint": "SELECT a.rebal, a.ticker AS a, b.ticker AS b, a.bin AS x, b.bin AS y, count(*) AS n FROM bin a JOIN bin b ON a.rebal = b.rebal AND a.t = b.t AND a.ticker < b.ticker GROUP BY ALL",
     "jm": "SELECT *, sum(n) OVER (PARTITION BY rebal, a, b) AS t, sum(n) OVER (PARTITION BY rebal, a, b, x) AS nx, sum(n) OVER (PARTITION BY rebal, a, b, y) AS ny FROM joint",
@@ -113,6 +127,6 @@ def oracle(select: str, *floats: str, digits: int = 6) -> str:
                 need(CTES[word])
 
     need(select)
-    with_ = ", ".join(f"{k} AS ({CTES[k]})" for k in order if k in used)
+    with_ = ", ".join(f"{k} AS {'MATERIALIZED ' if k in KEPT else ''}({CTES[k]})" for k in order if k in used)
     head = f"WITH RECURSIVE {with_} " if with_ else ""
     return f"{head}SELECT * {f'REPLACE ({replaced})' if floats else ''} FROM ({select})"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import clean, embedding, features, graph, information
 from corvane.plans.base import Base, base, tidy
-from corvane.plans.config import FEATURES
+from corvane.plans.config import FEATURES, Config, read_settings
 from corvane.plans.oracle_base import NAMES, oracle
 from corvane.sources import tables
 
@@ -41,6 +41,65 @@ PRICE = ("open", "high", "low", "close", "volume")
 # ---- sources and sinks
 
 
+
+def _source(b: Base):
+    """A source that answers a batch with rows of the price table, and fails on each batch's first call."""
+    asked: dict[tuple, int] = {}
+
+    def download(batch: list[str]) -> DataFrame | None:
+        asked[tuple(batch)] = asked.get(tuple(batch), 0) + 1
+        if asked[tuple(batch)] == 1:
+            raise ConnectionError("try again")
+        return b.raw.filter(F.col("ticker").isin(batch)).select(*[x.split()[0] for x in tables.PRICES_SCHEMA.split(", ")])
+
+    return download
+
+
+_DOWNLOADED = "SELECT date, ticker, open, high, low, close, volume FROM raw"
+
+
+@query("s01_download", _DOWNLOADED, *PRICE, digits=9)
+def _(b):
+    symbols = [x.n_name for x in b.table("nation").orderBy("n_name").collect()]  # what is asked for is a list by nature
+    return tables.download_all(b.spark, _source(b), symbols, _folder(b, "batches"), size=10, sleep=lambda s: None)
+
+
+@query("s02_retry", "SELECT date, ticker, open, high, low, close, volume FROM raw WHERE ticker IN ('NATION_1', 'NATION_2')", *PRICE, digits=9)
+def _(b):
+    return tables.fetch(_source(b), ["NATION_1", "NATION_2"], sleep=lambda s: None) or b.raw.limit(0).select(*[x.split()[0] for x in tables.PRICES_SCHEMA.split(", ")])
+
+
+@query("s03_resume", _DOWNLOADED, *PRICE, digits=9)
+def _(b):
+    folder, symbols = _folder(b, "batches"), [x.n_name for x in b.table("nation").orderBy("n_name").collect()]
+    tables.download_all(b.spark, _source(b), symbols[:10], folder, size=10, sleep=lambda s: None)
+
+    def rest(batch: list[str]) -> DataFrame:
+        if batch == symbols[:10]:
+            raise AssertionError("a stored batch was asked for again")
+        return b.raw.filter(F.col("ticker").isin(batch)).select(*[x.split()[0] for x in tables.PRICES_SCHEMA.split(", ")])
+
+    return tables.download_all(b.spark, rest, symbols, folder, size=10, retries=1)
+
+
+_PLACE = "CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS i"
+
+
+@query("s07_npz_scan", f"SELECT 'balance' AS name, {_PLACE}, s_acctbal AS value FROM supplier UNION ALL SELECT 'nation', {_PLACE}, CAST(s_nationkey AS DOUBLE) FROM supplier", "value")
+def _(b):
+    folder = _folder(b, "arrays")
+    tables.write_npz(b.table("supplier").orderBy("s_suppkey").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation")), f"{folder}/supplier.npz")
+    return tables.read_npz(b.spark, f"{folder}/*.npz").select("name", F.col("place")[0].alias("i"), "value")
+
+
+@query("s08_settings", "SELECT ticker, label, 5 AS k, 252 AS corr_window FROM raw GROUP BY ticker, label")
+def _(b):
+    path = _folder(b, "config")
+    b.spark.createDataFrame([(b.config.to_json(),)], "value string").coalesce(1).write.text(path)
+    read = Config.from_dict(read_settings(b.spark.read.text(path, wholetext=True).filter("value <> ''").first().value)).graph
+    return b.raw.select("ticker", "label").distinct().select("ticker", "label", F.lit(read.k).alias("k"), F.lit(read.window).alias("corr_window"))
+
+
 @query("s04_parquet_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(b):
     return b.table("nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -109,16 +168,18 @@ def _(b):
 # ---- projection, filters, reshaping
 
 
-@query("p01_wide_to_long", "SELECT date, ticker, close, volume FROM raw WHERE ticker IN ('CHINA', 'FRANCE', 'BRAZIL') OR ticker IN (SELECT ticker FROM raw GROUP BY ticker ORDER BY ticker LIMIT 3)", "close", "volume", digits=9)
+@query("p01_wide_to_long", "SELECT date, ticker, close, volume FROM raw", "close", "volume", digits=9)
 def _(b):
-    chosen = sorted({x.ticker for x in b.raw.select("ticker").distinct().orderBy("ticker").limit(3).collect()} | {x.ticker for x in b.raw.filter(F.col("ticker").isin("CHINA", "FRANCE", "BRAZIL")).select("ticker").distinct().collect()})
-    wide = b.raw.filter(F.col("ticker").isin(chosen)).groupBy("date").pivot("ticker", chosen).agg(F.first("close").alias("Close"), F.first("volume").alias("Volume"))
+    wide = b.raw.groupBy("date").pivot("ticker").agg(F.first("close").alias("Close"), F.first("volume").alias("Volume"))
     return tables.to_long(wide, ("close", "volume")).filter("close is not null")
 
 
-@query("p02_pivot", "SELECT date, max(close) FILTER (label = 0) AS l0, max(close) FILTER (label = 1) AS l1, max(close) FILTER (label = 2) AS l2 FROM raw GROUP BY date", "l0", "l1", "l2", digits=9)
+_LABELS = [f"l{k}" for k in range(5)]  # the region dimension has five keys
+
+
+@query("p02_pivot", f"SELECT date, {', '.join(f'max(close) FILTER (label = {k}) AS l{k}' for k in range(5))} FROM raw GROUP BY date", *_LABELS, digits=9)
 def _(b):
-    return b.raw.groupBy("date").pivot("label", [0, 1, 2]).agg(F.max("close")).toDF("date", "l0", "l1", "l2")
+    return b.raw.groupBy("date").pivot("label", list(range(5))).agg(F.max("close")).toDF("date", *_LABELS)
 
 
 @query("p03_stack", "SELECT date, ticker, f, v FROM raw UNPIVOT (v FOR f IN (open, high, low, close, volume))", "v", digits=9)
@@ -126,6 +187,14 @@ def _(b):
     return b.raw.unpivot(["date", "ticker"], list(PRICE), "f", "v")
 
 
+@query("p04_wide", "SELECT date, count(*) AS n, sum(close) AS total FROM raw GROUP BY date", "total", digits=9)
+def _(b):
+    wide = tables.to_wide(b.raw, "close")
+    cells = F.array(*[F.col(f"`{c}`") for c in wide.columns if c != "date"])
+    held = F.filter(cells, lambda x: x.isNotNull())
+    return wide.select("date", F.size(held).cast("long").alias("n"), F.aggregate(held, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
 @query("p05_reindex", "SELECT date, pos, ticker, close FROM grid", "close", digits=9)
 def _(b):
     return clean.grid(b.raw, *b.kept).select("date", "pos", "ticker", "close")
@@ -174,7 +243,7 @@ def _(b):
 def _(b):
     calendar = clean.sessions(b.raw)
     spans = clean.coverage(b.raw, calendar).select("ticker", "first_date", "last_date")
-    return calendar.join(F.broadcast(spans), F.col("date").between(F.col("first_date"), F.col("last_date"))).groupBy("ticker").agg(F.count(F.lit(1)).alias("sessions"))
+    return calendar.join(spans, F.col("date").between(F.col("first_date"), F.col("last_date"))).groupBy("ticker").agg(F.count(F.lit(1)).alias("sessions"))
 
 
 @query("p14_fill_tensor", "SELECT date, ticker, list_sum(list_value(" + ", ".join(NAMES) + ")) AS total, 13 AS width FROM x", "total")
@@ -250,12 +319,12 @@ def _(b):
 
 @query("j11_cross_join", "SELECT date, ticker FROM cal, k3")
 def _(b):
-    return b.calendar.select("date").crossJoin(F.broadcast(b.kept[1]))
+    return b.calendar.select("date").crossJoin(b.kept[1])
 
 
 @query("j12_edge_labels", "SELECT date, la, lb, count(*) AS n FROM le GROUP BY ALL")
 def _(b):
-    ends = F.broadcast(b.labels)
+    ends = b.labels
     return b.edges.filter("weight <> 0").join(ends.toDF("a", "la"), "a").join(ends.toDF("b", "lb"), "b").groupBy("date", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -275,10 +344,9 @@ def _(b):
     return b.table("events").groupBy("event_type").agg(F.mode("user_id", deterministic=True).alias("most"))
 
 
-@query("a03_ends_early", "SELECT ticker, max(date) < (SELECT max(date) FROM raw) - 7 AS early FROM raw GROUP BY 1")
+@query("a03_ends_early", "SELECT ticker, last < (SELECT last FROM (SELECT last, count(*) AS c FROM (SELECT max(date) AS last FROM raw GROUP BY ticker) GROUP BY 1 ORDER BY c DESC, last LIMIT 1)) - 7 AS early FROM (SELECT ticker, max(date) AS last FROM raw GROUP BY 1)")
 def _(b):
-    last = b.raw.agg(F.max("date").alias("_m"))
-    return b.raw.groupBy("ticker").agg(F.max("date").alias("d")).join(F.broadcast(last), F.lit(True)).select("ticker", (F.col("d") < F.date_sub("_m", 7)).alias("early"))
+    return clean.download_report(b.raw).select("ticker", F.col("ends_early").alias("early"))
 
 
 @query("a04_distinct", "SELECT count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS sessions FROM raw")
@@ -322,9 +390,10 @@ def _(b):
     return b.panel.groupBy("date").agg(F.avg("log_ret").alias("market"))
 
 
-@query("a12_cross_section", "SELECT date, median(vol_63) AS med, (SELECT 1.0) AS one, stddev_samp(vol_63) AS sd FROM feat GROUP BY date", "med", "one", "sd")
+@query("a12_cross_section", "SELECT date, any_value(m) AS med, median(abs(vol_63 - m)) AS mad, stddev_samp(vol_63) AS sd FROM (SELECT date, vol_63, median(vol_63) OVER (PARTITION BY date) AS m FROM feat) GROUP BY date", "med", "mad", "sd")
 def _(b):
-    return b.features.groupBy("date").agg(F.median("vol_63").alias("med"), F.lit(1.0).alias("one"), F.stddev_samp("vol_63").alias("sd"))
+    centred = b.features.select("date", "vol_63", F.median("vol_63").over(Window.partitionBy("date")).alias("m"))
+    return centred.groupBy("date").agg(F.any_value("m").alias("med"), F.median(F.abs(F.col("vol_63") - F.col("m"))).alias("mad"), F.stddev_samp("vol_63").alias("sd"))
 
 
 _PAIRS = [(a, c) for i, a in enumerate(NAMES) for c in NAMES[i + 1 :]]
@@ -355,8 +424,7 @@ def _(b):
 
 @query("a17_joint_histogram", "SELECT rebal, a, b, x, y, n FROM joint")
 def _(b):
-    one, two = b.binned.select("rebal", "t", F.col("ticker").alias("a"), F.col("bin").alias("x")), b.binned.select("rebal", "t", F.col("ticker").alias("b"), F.col("bin").alias("y"))
-    return one.join(two, ["rebal", "t"]).filter("a < b").groupBy("rebal", "a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    return b.joint
 
 
 @query("a18_feature_counts", "SELECT feature, count(*) FILTER (abs(abs(value) - 3.0) < 1e-9) / count(*) AS clip_rate, count(DISTINCT round(value, 6)) AS distinct_values, count(*) FILTER (value = 0) AS zeros FROM long GROUP BY 1", "clip_rate")
@@ -489,10 +557,10 @@ def _(b):
     return b.labels.withColumn("before", before).agg(F.count_if(F.col("label") != F.col("before")).alias("boundaries"))
 
 
-@query("o01_union", "SELECT date, ticker FROM raw WHERE label = 0 UNION ALL SELECT date, ticker FROM raw WHERE label = 1")
+@query("o01_union", "SELECT date, ticker, 'kept' AS part FROM raw WHERE ticker IN (FROM k3) UNION ALL SELECT date, ticker, 'left out' FROM raw WHERE ticker NOT IN (FROM k3)")
 def _(b):
-    part = lambda k: b.raw.filter(F.col("label") == k).select("date", "ticker")
-    return part(0).unionByName(part(1))
+    rows, kept = b.raw.select("date", "ticker"), b.kept[1]
+    return rows.join(kept, "ticker", "left_semi").withColumn("part", F.lit("kept")).unionByName(rows.join(kept, "ticker", "left_anti").withColumn("part", F.lit("left out")))
 
 
 @query("o02_intersect", "SELECT date FROM cal INTERSECT SELECT date FROM reb")
@@ -542,11 +610,16 @@ def _(b):
 # ---- graphs
 
 
-@query("g01_residualised_corr")
+@query("g01_residualised_corr", "SELECT date, a, b, c FROM corr", "c")
 def _(b):
     return graph.correlations(b.windows, b.config.graph)
 
 
+@query("g01_residuals", "SELECT rebal, t, ticker, r FROM wr", "r")
+def _(b):
+    return b.residuals
+
+
 _LW = "SELECT rebal AS date, CASE WHEN d > 0 THEN least((q - s2) / n, d) / d ELSE 0.0 END AS shrinkage FROM (SELECT *, s2 - 2 * tr / p * tr + p * pow(tr / p, 2) AS d FROM (SELECT rebal, sum(s * s) AS s2, sum(q) AS q, sum(s) FILTER (a = b) AS tr, count(*) FILTER (a = b) AS p, max(n) AS n FROM (SELECT x.rebal, x.ticker AS a, y.ticker AS b, avg(x.c * y.c) AS s, avg(pow(x.c * y.c, 2)) AS q, count(*) AS n FROM (SELECT *, r - avg(r) OVER (PARTITION BY rebal, ticker) AS c FROM win) x JOIN (SELECT *, r - avg(r) OVER (PARTITION BY rebal, ticker) AS c FROM win) y ON x.rebal = y.rebal AND x.t = y.t GROUP BY 1, 2, 3) GROUP BY 1))"
 
 
@@ -567,7 +640,20 @@ def _(b):
     return b.nodes.groupBy("date").agg(((F.lit(1) + F.sqrt(F.count(F.lit(1)) / b.config.graph.window)) ** 2).alias("edge"))
 
 
-@query("g04_spectra")
+# Eigenvalues above the edge are the positive pivots of the correlations less the edge on the diagonal; the largest is read off the squared matrix.
+_SPECTRA = """WITH RECURSIVE full0 AS (SELECT date, a, b, c FROM corr UNION ALL SELECT date, b, a, c FROM corr UNION ALL SELECT date, node, node, 1.0 FROM node),
+fm AS (SELECT date, list(row ORDER BY a) AS m FROM (SELECT date, a, list(c ORDER BY b) AS row FROM full0 GROUP BY 1, 2) GROUP BY date),
+fe AS (SELECT date, len(m) AS n, pow(1 + sqrt(len(m) / 252), 2) AS edge FROM fm),
+pw2 AS (SELECT date, m, 0 AS step FROM fm UNION ALL SELECT date, list_transform(m, lambda x: list_transform(m, lambda y: list_dot_product(x, y) / total)), step + 1
+  FROM (SELECT *, list_sum(list_transform(m, lambda z: list_dot_product(z, z))) AS total FROM pw2) WHERE step < 45),
+top AS (SELECT p.date, list_sum(list_transform(range(1, len(p.m) + 1), lambda i: list_dot_product(p.m[i], f.m[i]))) AS first FROM pw2 p JOIN fm f USING (date) WHERE step = 45),
+pv AS (SELECT fm.date, list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = j THEN v - edge ELSE v END)) AS m, CAST(0 AS BIGINT) AS above FROM fm JOIN fe USING (date)
+  UNION ALL SELECT date, list_transform(m[2:], lambda r: list_transform(r[2:], lambda v, j: v - r[1] * m[1][j + 1] / m[1][1])), above + CASE WHEN m[1][1] > 0 THEN 1 ELSE 0 END FROM pv WHERE len(m) > 0)
+SELECT fe.date, lw.shrinkage, mean_corr, first / n AS top_eigval_frac, above AS n_eigs_above_mp FROM fe JOIN lw ON lw.rebal = fe.date JOIN (SELECT date, avg(c) AS mean_corr FROM corr GROUP BY 1) USING (date)
+JOIN top USING (date) JOIN (SELECT date, above FROM pv WHERE len(m) = 0) USING (date)"""
+
+
+@query("g04_spectra", _SPECTRA, "shrinkage", "mean_corr", "top_eigval_frac")
 def _(b):
     return graph.spectra(b.windows, b.config.graph)
 
@@ -587,7 +673,7 @@ def _(b):
     return graph.similarity(b.corr, "absolute")
 
 
-@query("g07_graph_sequence")
+@query("g07_graph_sequence", "SELECT date, a, b, weight FROM edge", "weight")
 def _(b):
     pairs = graph.correlations(b.windows, b.config.graph)
     return graph.knn_edges(graph.ranked_neighbours(graph.similarity(pairs, b.config.graph.similarity), b.config.graph.k), b.config.graph.k, b.config.graph.symmetrise, b.config.graph.weighted)
@@ -616,9 +702,24 @@ def _(b):
     return graph.component_labels(b.edges, b.nodes)
 
 
-@query("g12_sweep_k")
+_SWEEP = """WITH RECURSIVE ks AS (SELECT unnest([3, 5, 7]) AS k),
+se AS (SELECT k, date, least(node, other) AS a, greatest(node, other) AS b, max(s) AS weight FROM rk JOIN ks ON rank <= k GROUP BY ALL HAVING max(s) <> 0),
+sd AS (SELECT k, date, a AS node, b AS other FROM se UNION ALL SELECT k, date, b, a FROM se),
+counted AS (SELECT ks.k, n.date, n.node, count(sd.other) AS degree FROM ks CROSS JOIN node n LEFT JOIN sd ON sd.k = ks.k AND sd.date = n.date AND sd.node = n.node GROUP BY ALL),
+per AS (SELECT k, date, avg(degree) AS mean_degree, sum(degree) / (count(*) * (count(*) - 1)) AS density FROM counted GROUP BY ALL),
+rs AS (SELECT ks.k, date, node, node AS label FROM node CROSS JOIN ks UNION SELECT r.k, r.date, sd.other, r.label FROM rs r JOIN sd ON r.k = sd.k AND r.date = sd.date AND r.node = sd.node),
+whole AS (SELECT k, date, count(DISTINCT label) = 1 AS one FROM (SELECT k, date, node, min(label) AS label FROM rs GROUP BY ALL) GROUP BY ALL),
+nx AS (SELECT date, lag(date) OVER (ORDER BY date) AS p FROM reb),
+both0 AS (SELECT k, date, a, b, 0 AS w FROM se UNION ALL SELECT k, nx.date, a, b, 1 FROM se JOIN nx ON nx.p = se.date),
+jac AS (SELECT k, date, count(*) FILTER (c = 2) / count(*) AS j FROM (SELECT k, date, a, b, count(*) AS c FROM both0 GROUP BY ALL) GROUP BY ALL),
+kept AS (SELECT k, avg(coalesce(j, 0.0)) AS mean_persistence, stddev_pop(coalesce(j, 0.0)) AS std_persistence FROM ks CROSS JOIN nx LEFT JOIN jac USING (k, date) WHERE p IS NOT NULL GROUP BY k)
+SELECT CAST(k AS INTEGER) AS k, avg(mean_degree) AS mean_degree, avg(density) AS density, avg(CAST(one AS INTEGER)) AS frac_dates_connected, any_value(mean_persistence) AS mean_persistence, any_value(std_persistence) AS std_persistence
+FROM per JOIN whole USING (k, date) JOIN kept USING (k) GROUP BY k"""
+
+
+@query("g12_sweep_k", _SWEEP, "mean_degree", "density", "frac_dates_connected", "mean_persistence", "std_persistence")
 def _(b):
-    return graph.sweep(b.corr, b.dates, b.config.graph)
+    return graph.sweep(b.ranked, b.nodes, b.dates, b.config.graph)
 
 
 _HOM = "SELECT h.date, raw, e AS expected, CASE WHEN e < 1 THEN (raw - e) / (1 - e) END AS adjusted FROM (SELECT date, avg(CAST(la = lb AS INTEGER)) AS raw FROM le GROUP BY 1) h, (SELECT sum(pow(c / t, 2)) AS e FROM (SELECT count(*) AS c, (SELECT count(*) FROM lab) AS t FROM lab GROUP BY label))"
@@ -670,27 +771,36 @@ def _(b):
     return b.binned
 
 
+_UNIFORM = "SELECT rebal, t, ticker, CASE WHEN hi = lo THEN 0 ELSE greatest(0, least(len(list_filter(edges, lambda e: e < r)) - 1, 5)) END AS bin FROM (SELECT *, list_transform(range(7), lambda i: lo + (hi - lo) * (i / 6)) AS edges FROM (SELECT *, min(r) OVER (PARTITION BY rebal, ticker) AS lo, max(r) OVER (PARTITION BY rebal, ticker) AS hi FROM win))"
+
+
+@query("m02_uniform_bins", _UNIFORM)
+def _(b):
+    return information.bins(b.windows, b.config.information.bins, "uniform")
+
+
 @query("m03_binned_mi", "SELECT date, a, b, mi FROM mi", "mi")
 def _(b):
-    return information.binned(b.binned)
+    return information.binned(b.joint)
 
 
-def _last_dates(b: Base, n: int) -> DataFrame:
-    """Windows of the evenly spaced dates that the estimate is asked for."""
-    some = features.subsample(b.dates, n).select(F.col("date").alias("rebal"))
-    return b.windows.join(F.broadcast(some), "rebal", "left_semi")
+def _middle(b: Base) -> DataFrame:
+    """The residuals of the middle rebalance date, on which the method measures its null and its time."""
+    middle = b.dates.agg(F.expr("cast(count(*) div 2 as int)").alias("m"))
+    date = b.dates.join(middle, F.col("ordinal") == F.col("m")).select(F.col("date").alias("rebal"))
+    return b.residuals.join(date, "rebal", "left_semi")
 
 
 @query("m04_ksg_mi")
 def _(b):
-    return information.all_pairs(b.windows, b.config.information)
+    return information.all_pairs(b.residuals, b.config.information)
 
 
 @query("m05_all_pairs", "SELECT date, a, b, mi FROM mi", "mi")
 def _(b):
     from dataclasses import replace
 
-    return information.all_pairs(b.windows, replace(b.config.information, estimator="binned"))
+    return information.all_pairs(b.residuals, replace(b.config.information, estimator="binned"))
 
 
 @query("m06_entropies", "SELECT date, ticker, h FROM ent", "h")
@@ -720,7 +830,7 @@ def _(b):
 
 @query("m11_null_floor")
 def _(b):
-    return information.null_floor(information.null_draws(_last_dates(b, 1), b.config.information))
+    return information.null_floor(information.null_draws(_middle(b), b.config.information))
 
 
 _MK = "SELECT date, least(node, other) AS a, greatest(node, other) AS b, max(s) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY date, node ORDER BY s DESC, other) AS rank FROM (SELECT date, a AS node, b AS other, s FROM ss UNION ALL SELECT date, b, a, s FROM ss)) WHERE rank <= 5 GROUP BY 1, 2, 3"
@@ -734,10 +844,12 @@ def _mi_edges(b: Base) -> DataFrame:
 
 @query("m12_timing")
 def _(b):
-    import numpy as np
+    return information.timings(_middle(b), b.config.information, b.dates.count())
 
-    found = information.timing_probe(np.random.default_rng(0).standard_normal((252, 10)), b.config.information, 10)
-    return b.spark.createDataFrame([("pair_measured", found["pair_s"] > 0), ("total_covers_pairs", found["total_s"] > found["pair_s"])], "what string, holds boolean")
+
+@query("m13_meta", "SELECT date, avg(mi) AS mean_mi, avg(nmi) AS mean_nmi, avg(mi + 0.5 * ln(1 - c * c)) AS mean_delta, avg(CAST(mi > 0.05 AS INTEGER)) AS frac_above_null FROM nmi JOIN corr USING (date, a, b) GROUP BY 1", "mean_mi", "mean_nmi", "mean_delta", "frac_above_null")
+def _(b):
+    return information.sequence_meta(b.nmi, information.similarity(b.nmi, b.corr), 0.05)
 
 
 @query("m13_mi_graph", _MIG, "weight")
@@ -803,12 +915,32 @@ def _(b):
     return _z(b)
 
 
-@query("n04_corruption")
+_SHUFFLED = "SELECT p.date, p.ticker AS node, q.ticker AS donor, " + ", ".join(f"q.{c}" for c in NAMES) + " FROM (SELECT date, ticker, row_number() OVER (PARTITION BY date ORDER BY ticker) AS place FROM x) p JOIN (SELECT *, row_number() OVER (PARTITION BY date ORDER BY md5('42:' || CAST(date AS VARCHAR) || ':' || ticker), ticker) AS place FROM x) q USING (date, place)"
+
+
+@query("n04_corruption", _SHUFFLED, *NAMES)
 def _(b):
-    import numpy as np
+    return embedding.corrupted(_x(b), b.names, b.config.training.seed)
+
 
-    order = embedding.corrupt(np.arange(12), np.random.default_rng(b.config.training.seed))
-    return b.spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "place int, from_place int")
+_W3 = embedding.fixed_weights(4, 4, 3)
+_LOGIT = " + ".join(f"z{i} * CAST({w} AS DOUBLE) * s{j}" for i, row in enumerate(_W3) for j, w in enumerate(row))
+_SUMMARY = "SELECT date, " + ", ".join(f"1 / (1 + exp(-avg(z{j}))) AS s{j}" for j in range(4)) + " FROM zz GROUP BY date"
+
+
+@query("n05_discriminator", f"WITH zz AS ({_Z}) SELECT date, node, {_LOGIT} AS logit FROM zz JOIN ({_SUMMARY}) USING (date)", "logit")
+def _(b):
+    z = _z(b)
+    return embedding.discriminate(z, z, _ZS, _W3)
+
+
+_GUESS = "0.1 + " + " + ".join(f"z{k} * CAST({w[0]} AS DOUBLE)" for k, w in enumerate(embedding.fixed_weights(4, 1, 4)))
+
+
+@query("n07_masked_loss", f"SELECT z.date, count(y) AS n_known, coalesce(avg(pow({_GUESS} - y, 2)), 0.0) AS mse FROM ({_Z}) z LEFT JOIN fv ON fv.date = z.date AND fv.ticker = z.node GROUP BY z.date", "mse")
+def _(b):
+    target = features.forward_vol(b.panel.select("date", "ticker", "log_ret"), b.dates).withColumnRenamed("ticker", "node")
+    return embedding.head_loss(_z(b), target, _ZS, [w[0] for w in embedding.fixed_weights(4, 1, 4)], 0.1)
 
 
 def _walk(b: Base) -> DataFrame:
@@ -844,7 +976,14 @@ def _(b):
 
 @query("n12_effective_rank")
 def _(b):
-    return embedding.spectra(b.x, b.names).select("date", "erank")
+    x, z = (embedding.spectra(m, c).select("date", F.col("erank").alias(n)) for m, c, n in ((b.x, b.names, "erank_x"), (_z(b), _ZS, "erank_z")))
+    return x.join(z, "date")
+
+
+@query("n15_weight_draws")
+def _(b):
+    m = b.config.model
+    return embedding.weight_draws(b.spark, [len(b.names)] + [m.hidden] * (m.layers - 1) + [m.embed], b.config.training.seed)
 
 
 @query("n13_embedding_variance", f"SELECT date, ({' + '.join(f'var_pop({c})' for c in _ZS)}) / 4 AS variance FROM ({_Z}) GROUP BY 1", "variance")
@@ -923,6 +1062,19 @@ def _(b):
     return embedding.embedding_variance(b.x, b.names).withColumnRenamed("variance", "v_in").join(embedding.embedding_variance(layer, _H).withColumnRenamed("variance", "v1"), "date")
 
 
+@query("d08_initialisations")
+def _(b):
+    """Variance after one layer under both rules of drawing weights."""
+    import numpy as np
+
+    adjacency, out = embedding.normalised_adjacency(b.edges, b.nodes), None
+    for name, draw in (("glorot", embedding.glorot), ("kaiming", embedding.kaiming)):
+        weights = draw(np.random.default_rng(b.config.training.seed), len(b.names), 8).tolist()
+        row = embedding.embedding_variance(embedding.propagate(adjacency, _x(b), b.names, weights), _H).select("date", F.lit(name).alias("rule"), "variance")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("d09_components_for_90")
 def _(b):
     return embedding.spectra(b.x, b.names).select("date", "n90")

@@ -101,7 +101,11 @@ def read_config(spark: SparkSession, path: str) -> dict:
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh folder below the one that driver and executors share; of our own only where none is set, as on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corvane-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/corvane-shared"
     return f"{root.rstrip('/')}/corvane-{label}-{uuid.uuid4().hex}"
 
 
@@ -139,12 +143,28 @@ def read_npz(spark: SparkSession, pattern: str) -> DataFrame:
                 arrays = {k: got[k] for k in got.files} if hasattr(got, "files") else {"": got}
                 for name, x in arrays.items():
                     if x.dtype.kind in "fiub":
-                        index = np.argwhere(np.ones(x.shape, bool)).tolist()
-                        yield pa.RecordBatch.from_pydict({"path": [path] * x.size, "name": [name] * x.size, "place": pa.array(index, pa.list_(pa.int32())), "value": x.astype(float).ravel()})
+                        index = np.indices(x.shape, np.int32).reshape(x.ndim, -1).T.ravel()
+                        place = pa.ListArray.from_arrays(pa.array(np.arange(x.size + 1) * x.ndim, pa.int32()), pa.array(index, pa.int32()))
+                        yield pa.RecordBatch.from_pydict({"path": [path] * x.size, "name": [name] * x.size, "place": place, "value": x.astype(float).ravel()})
 
     return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(run, "path string, name string, place array<int>, value double")
 
 
+def write_npz(df: DataFrame, path: str) -> None:
+    """Columns of a small ordered table as the arrays of one .npz file, which is a driver's file by nature."""
+    import io
+
+    import numpy as np
+    import pyarrow.fs
+
+    held, raw = df.toPandas(), io.BytesIO()
+    np.savez(raw, **{c: held[c].to_numpy() for c in held.columns})
+    store, place = pyarrow.fs.FileSystem.from_uri(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    with store.open_output_stream(place) as out:
+        out.write(raw.getvalue())
+
+
 def fetch(download: Callable[[list[str]], DataFrame | None], batch: list[str], retries: int = 3, pause: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> DataFrame | None:
     """Asks a source for a batch of symbols, again after growing pauses if it fails or gives no row; None if it never does."""
     for attempt in range(retries):

@@ -204,6 +204,25 @@ def test_residualise_takes_out_the_market():
     assert (graph.residualise(x, 0) == x).all() and spectral_edge(105, 252) == pytest.approx(2.708, abs=1e-3)
 
 
+def test_residual_windows_and_moments(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 5)) + rng.normal(size=(40, 1))
+    rows = spark.createDataFrame([(DAY, i, "edcba"[k], float(x[i, k])) for i in range(40) for k in range(5)], "rebal date, t int, ticker string, r double")
+    left = graph.residual_windows(rows, 1).toPandas().pivot(index="t", columns="ticker", values="r")
+    want = graph.residualise(x[:, ::-1], 1)
+    assert np.allclose(left.to_numpy(), want) and list(left.columns) == list("abcde")
+    assert graph.shrinkage_intensity(rows).first().shrinkage == pytest.approx(graph.shrunk_correlation(x)[1])
+
+
+def test_nearest_dates(spark):
+    rng = np.random.default_rng(9)
+    left, right = ([DAY + dt.timedelta(int(i)) for i in rng.choice(900, n, replace=False)] for n in (60, 25))
+    frame = lambda d: spark.createDataFrame([(x,) for x in d], "date date")
+    got = {x.date: x.nearest for x in features.nearest(frame([*left, left[0]]), frame(right)).collect()}
+    assert got == {x: min(right, key=lambda y: (abs((y - x).days), y)) for x in left}
+    assert [x.nearest for x in features.nearest(frame(left[:1]), frame([])).collect()] == [None]
+
+
 def test_homophily_of_perfect_and_mixed_graphs(spark):
     labels = spark.createDataFrame([(x, int(x in "cd")) for x in "abcd"], "node string, label int")
     perfect = graph.edge_homophily(edge_frame(spark, [("a", "b"), ("c", "d")]), labels).first()
@@ -249,7 +268,7 @@ def test_binned_relational_equals_numpy(spark):
     rng = np.random.default_rng(6)
     data = np.round(rng.standard_normal((120, 3)), 1)
     rows = spark.createDataFrame([(DAY, i, "abc"[k], float(data[i, k])) for i in range(120) for k in range(3)], "rebal date, t int, ticker string, r double")
-    got = {(x.a, x.b): x.mi for x in information.binned(information.bins(rows)).collect()}
+    got = {(x.a, x.b): x.mi for x in information.binned(information.joint_counts(information.bins(rows))).collect()}
     for i, j in ((0, 1), (0, 2), (1, 2)):
         assert got["abc"[i], "abc"[j]] == pytest.approx(information.estimate_binned(data[:, i], data[:, j]))
     direct = {(x.a, x.b): x.mi for x in information.all_pairs(rows, Information(estimator="binned")).collect()}
