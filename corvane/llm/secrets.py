@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
-The base scan finds three kinds of secrets in the text itself. Then encoded runs are unwrapped: percent escapes, Unicode
-escapes, base64 (plain or URL alphabet) and gzip, zlib or UTF-16 data inside it. Base64 is read at each of the four alignments of a run, as
+The base scan finds three kinds of secrets in the text itself. Then encoded runs are unwrapped: percent and Unicode
+escapes, base64 (plain or URL alphabet) and gzip, zlib or UTF-16 data inside it. Escapes of escapes, however deep, are one layer, and are taken off in one
+pass: what a decoded character completes is decoded at once. Base64 is read at each of the four alignments of a run, as
 paths and words can stand before it without a gap. Runs are scanned alone and in their surroundings, that is with all runs of a kind replaced
 in the text; of a base64 run there, what decodes to printable text up to its end. Bytes that are not UTF-8 stand as characters that
 match nothing. Each decoded layer is scanned in its turn, and its own encoded runs
@@ -9,6 +10,10 @@ go on the worklist, until nothing new comes out; a layer of the same text from t
 cycles, while the same text elsewhere is. Every layer carries a map from its characters to the original's, so that a secret found deep inside is reported as the span of original characters
 it was decoded from.
 
+Work grows with a text's length times its layers of base64 or compression, each of which is shorter than the one around it but for compression. What a
+compressed stream holds is kept once, has one span for all, and is scanned by lines of it, so that it takes memory for its own bytes (which
+can be a thousand times the text's: nothing is capped).
+
 Null and empty texts have no spans. Texts are scanned whole. Repeated rows give repeated results.
 """
 
@@ -31,13 +36,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 
-_PERCENT = re.compile(r"[!-~]*%[0-9A-Fa-f]{2}[!-~]*")
-_PERCENT_ONE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)")
-_UNICODE = re.compile(r"[ -~]*\\u[0-9A-Fa-f]{4}[ -~]*")
-_UNICODE_ONE = re.compile(r"((?:\\u[0-9A-Fa-f]{4})+)")
+_ESCAPE = re.compile(r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}")
+_CHUNK = re.compile(r"[!-~]+")
+_PARTIAL = re.compile(rb"(?:%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3})?)\Z")
+_WHOLE = re.compile(rb"%([0-9A-Fa-f]{2})\Z|\\u([0-9A-Fa-f]{4})\Z")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WIDE = re.compile(rb"(?:\x00[\x01-\x7f]){6,}|(?:[\x01-\x7f]\x00){6,}")
 _PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: What a stream holds is scanned in parts of about so many bytes, cut at line ends, which no pattern and no run crosses.
+PART_BYTES = 1 << 20
 
 Span = tuple[int, int, str]
 
@@ -68,42 +75,55 @@ def _by_character(raw: bytes, low: np.ndarray, high: np.ndarray) -> Layer:
     return Layer(text, low[first], np.maximum.reduceat(high, first) if len(first) else high[:0])
 
 
-def _escaped(layer: Layer, start: int, stop: int, one: re.Pattern, unescape) -> Layer:
-    """The layer's characters start to stop with their escapes decoded."""
-    raw, low, high, at = bytearray(), [], [], start
-    for k, part in enumerate(one.split(layer.text[start:stop])):
-        if k % 2:
-            data, step = unescape(part)
-            sizes = [len(x) for x in data]
-            raw += b"".join(data)
-            each = np.arange(len(data), dtype=np.int64)
-            low.append(np.repeat(layer.low[at + each * step], sizes))
-            high.append(np.repeat(layer.high[at + np.minimum((each + 1) * step, len(part)) - 1], sizes))
-        elif part:
-            piece = part.encode("utf-8", "surrogateescape")
-            raw += piece
-            of = slice(None) if len(piece) == len(part) else np.repeat(np.arange(len(part)), [len(x.encode("utf-8", "surrogateescape")) for x in part])
-            low.append(layer.low[at : at + len(part)][of])
-            high.append(layer.high[at : at + len(part)][of])
-        at += len(part)
-    return _by_character(bytes(raw), np.concatenate(low), np.concatenate(high))
-
-
-def _percent(part: str):
-    return [bytes.fromhex(part[i + 1 : i + 3]) for i in range(0, len(part), 3)], 3
-
-
-def _unicode(part: str):
-    units = [int(part[i + 2 : i + 6], 16) for i in range(0, len(part), 6)]
-    out, i = [], 0
-    while i < len(units):
-        if 0xD800 <= units[i] < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000:
-            out += [chr(0x10000 + ((units[i] - 0xD800) << 10) + units[i + 1] - 0xDC00).encode(), b""]
-            i += 2
-        else:
-            out.append(chr(units[i]).encode("utf-8", "replace"))
-            i += 1
-    return out, 6
+class _Settling:
+    """Bytes that are decoded as soon as they end in an escape, with the original characters' span of each."""
+
+    def __init__(self):
+        self.raw, self.low, self.high = bytearray(), [], []
+
+    def add(self, raw: bytes, low: list[int], high: list[int]) -> None:
+        """Adds one decoded character's bytes, and takes off what it completes."""
+        self.raw += raw
+        self.low += low
+        self.high += high
+        while (m := _WHOLE.search(self.raw, max(0, len(self.raw) - 6))) is not None:
+            first, last, at = min(self.low[m.start() :]), max(self.high[m.start() :]), m.start()
+            made = bytes([int(m[1], 16)]) if m[1] else chr(int(m[2], 16)).encode("utf-8", "surrogatepass")
+            del m
+            del self.raw[at:], self.low[at:], self.high[at:]
+            before = bytes(self.raw[-3:])
+            if b"\xed\xb0" <= made[:2] <= b"\xed\xbf" and b"\xed\xa0" <= before[:2] <= b"\xed\xaf":  # the second half of a pair
+                first = min(self.low[-3:])
+                del self.raw[-3:], self.low[-3:], self.high[-3:]
+                made = (before + made).decode("utf-8", "surrogatepass").encode("utf-16", "surrogatepass").decode("utf-16").encode()
+            self.raw += made
+            self.low += [first] * len(made)
+            self.high += [last] * len(made)
+
+    def extend(self, text: str, low: list[int], high: list[int]) -> None:
+        """Adds ASCII text that holds no escape of its own."""
+        k = 0
+        while k < len(text) and _PARTIAL.search(self.raw, max(0, len(self.raw) - 5)):
+            self.add(text[k].encode(), low[k : k + 1], high[k : k + 1])
+            k += 1
+        self.raw += text[k:].encode()
+        self.low += low[k:]
+        self.high += high[k:]
+
+
+def _settled(layer: Layer, start: int, stop: int) -> Layer:
+    """The layer's characters start to stop, all ASCII, with escapes and escapes of escapes decoded. Each step makes the bytes fewer: linear in all."""
+    text, low, high = layer.text[start:stop], layer.low[start:stop].tolist(), layer.high[start:stop].tolist()
+    out, at = _Settling(), 0
+    for m in _ESCAPE.finditer(text):
+        if m.start() < at:
+            continue
+        out.extend(text[at : m.start()], low[at : m.start()], high[at : m.start()])
+        for k in range(m.start(), m.end()):
+            out.add(text[k].encode(), low[k : k + 1], high[k : k + 1])
+        at = m.end()
+    out.extend(text[at:], low[at:], high[at:])
+    return _by_character(bytes(out.raw), np.array(out.low, np.int64), np.array(out.high, np.int64))
 
 
 def _inflate(raw: bytes) -> tuple[bytes, int]:
@@ -113,10 +133,28 @@ def _inflate(raw: bytes) -> tuple[bytes, int]:
         return stream.decompress(raw) + stream.flush(), len(raw) - len(stream.unused_data)
     except zlib.error:
         stream = zlib.decompressobj(47)
-    with contextlib.suppress(zlib.error):
-        for i in range(len(raw)):
-            out.append(stream.decompress(raw[i : i + 1]))
-    return b"".join(out), i + 1
+    i = 0
+    with contextlib.suppress(zlib.error):  # in halving steps up to the byte that is wrong
+        step = 1 << 16
+        while i < len(raw):
+            held = stream.copy()
+            try:
+                out.append(stream.decompress(raw[i : i + step]))
+                i += step
+            except zlib.error:
+                if step == 1:
+                    raise
+                stream, step = held, step // 2
+    return b"".join(out), min(i + 1, len(raw))
+
+
+def _lines(raw: bytes) -> Iterator[bytes]:
+    """Parts of about PART_BYTES that end at line ends."""
+    at = 0
+    while at < len(raw):
+        stop = raw.find(b"\n", at + PART_BYTES) + 1 or len(raw)
+        yield raw[at:stop]
+        at = stop
 
 
 def _read(raw: bytes, low: np.ndarray, high: np.ndarray, end: int) -> Iterator[Layer]:
@@ -124,24 +162,40 @@ def _read(raw: bytes, low: np.ndarray, high: np.ndarray, end: int) -> Iterator[L
 
     end: of the whole run, which is that of data that reach to its last byte.
     """
-    work, seen = [(raw, low, high, end)], set()
+    yield _by_character(raw, low, high)
+    for wide, of, pair in _wide(raw):
+        yield _by_character(wide, low[pair], high[pair + 1])
+    work, seen = list(_packed(raw, low, high, end)), set()
     while work:
-        raw, low, high, end = work.pop()
-        yield _by_character(raw, low, high)
-        for m in _WIDE.finditer(raw):
-            of = slice(m.start() + (m.group()[0] == 0), m.end(), 2)
-            pair = np.arange(m.start(), m.end(), 2)
-            yield _by_character(raw[of], low[pair], high[pair + 1])
-        past = 0
-        for m in _PACKED.finditer(raw):
-            if m.start() < past:
-                continue
+        inner, first, last = work.pop()
+        if not inner or (inner, first, last) in seen:
+            continue
+        seen.add((inner, first, last))
+        for part in _lines(inner):
+            text = part.decode("utf-8", "surrogateescape")
+            yield Layer(text, np.broadcast_to(np.int64(first), len(text)), np.broadcast_to(np.int64(last), len(text)))
+        for wide, *_ in _wide(inner):
+            text = wide.decode("ascii")
+            yield Layer(text, np.broadcast_to(np.int64(first), len(text)), np.broadcast_to(np.int64(last), len(text)))
+        one = np.broadcast_to(np.int64(first), len(inner)), np.broadcast_to(np.int64(last), len(inner))
+        work += _packed(inner, *one, last)
+
+
+def _wide(raw: bytes) -> Iterator[tuple[bytes, slice, np.ndarray]]:
+    for m in _WIDE.finditer(raw):
+        of = slice(m.start() + (m.group()[0] == 0), m.end(), 2)
+        yield raw[of], of, np.arange(m.start(), m.end(), 2)
+
+
+def _packed(raw: bytes, low: np.ndarray, high: np.ndarray, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """What compressed streams among the bytes hold, and their span."""
+    past = 0
+    for m in _PACKED.finditer(raw):
+        if m.start() >= past:
             inner, taken = _inflate(raw[m.start() :])
-            past = m.start() + taken
-            first, last = int(low[m.start()]), end if past == len(raw) else int(high[past - 1])
-            if inner and (inner, first, last) not in seen:
-                seen.add((inner, first, last))
-                work.append((inner, np.full(len(inner), first), np.full(len(inner), last), last))
+            if inner:
+                past = m.start() + taken
+                yield inner, int(low[m.start()]), end if past == len(raw) else int(high[past - 1])
 
 
 def _base64(layer: Layer, run: re.Match) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
@@ -189,11 +243,11 @@ def _sound_end(layer: Layer, run: re.Match, found: list[tuple[int, bytes, np.nda
 def unwrap(layer: Layer) -> Iterator[Layer]:
     """The layers one step below."""
     text = layer.text
-    for mark, runs, one, unescape in (("%", _PERCENT, _PERCENT_ONE, _percent), ("\\u", _UNICODE, _UNICODE_ONE, _unicode)):
-        if mark in text and one.search(text):
-            for run in runs.finditer(text):
-                yield _escaped(layer, *run.span(), one, unescape)
-            yield _escaped(layer, 0, len(text), one, unescape)
+    if _ESCAPE.search(text):
+        parts = [(m.start(), m.end(), _settled(layer, *m.span())) for m in _CHUNK.finditer(text) if _ESCAPE.search(text, *m.span())]
+        for _, _, part in parts:
+            yield part
+        yield _replaced(layer, parts)
     parts = []
     for run in _BASE64.finditer(text):
         found = list(_base64(layer, run))

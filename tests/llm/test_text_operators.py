@@ -4,6 +4,8 @@ import gzip
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import urllib.parse
 import zlib
 
@@ -274,6 +276,90 @@ def test_a_plain_alignment_keeps_exact_spans():
     assert (2 + 5, 2 + 30, "assign") in secrets.scan(text)[1]
 
 
+def percent(x):
+    return "".join(f"%{b:02X}" for b in x.encode())
+
+
+def escaped(x):
+    return "".join(f"\\u{u:04x}" for u in np.frombuffer(x.encode("utf-16-le"), "<u2"))
+
+
+WRAPS = {
+    "percent": percent,
+    "unicode": escaped,
+    "base64": b64,
+    "url64": lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("="),
+    "gzip": lambda x: b64(gzip.compress(x.encode(), mtime=0)),
+    "zlib in zlib": lambda x: b64(zlib.compress(zlib.compress(x.encode()))),
+    "utf-16": lambda x: b64(x.encode("utf-16-le")),
+    "damaged": lambda x: b64(zlib.compress((x + " " + "pad " * 50).encode())[:-7]),
+    "binary around": lambda x: b64(b"\xff\x00\xfe" + x.encode() + b"\xe9\x01"),
+}
+
+
+def naive_unescape(chars):
+    """Escapes decoded one at a time, from the left, until none is left. chars: (character, start, end)."""
+    while True:
+        text = "".join(c for c, _, _ in chars)
+        m = re.search(r"%([0-7][0-9A-Fa-f])|\\u00([0-7][0-9A-Fa-f])", text)
+        if m is None:
+            return chars
+        hit = chars[m.start() : m.end()]
+        chars = [*chars[: m.start()], (chr(int(m[1] or m[2], 16)), min(x[1] for x in hit), max(x[2] for x in hit)), *chars[m.end() :]]
+
+
+def test_escapes_equal_a_naive_decoder():
+    rng, pieces = random.Random(6), ["%", "25", "41", "\\u", "0025", "005c", "u", "2", "5", "z", " ", "%2541", "\\u005cu0061", "%5Cu0041", "password=", "%3D", "é", "secretvalue"]
+    for _ in range(500):
+        text = "".join(rng.choices(pieces, k=rng.randint(1, 14)))
+        settled = naive_unescape([(c, i, i + 1) for i, c in enumerate(text)])
+        plain = "".join(c for c, _, _ in settled)
+        want = {(settled[a][1], max(x[2] for x in settled[a:b]), kind) for a, b, kind in secrets.base_spans(plain)}
+        assert want <= set(secrets.scan(text)[1]), text
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_planted_secrets_in_nested_layers_are_all_found_and_nothing_else(seed):
+    rng, text, planted = random.Random(seed), "", []
+    for _ in range(rng.randint(2, 9)):
+        text += rng.choice(["some plain words, ", "é 中文 \n", "path/to/it ", "x = y; ", "the end. "]) * rng.randint(1, 4)
+        names = rng.choices(sorted(WRAPS), k=rng.randint(1, 3))
+        secret = rng.choice([SECRET, "api_key: abcdefgh1234", "AKIA" + "Q" * 20])
+        run = secret
+        for name in names:
+            run = WRAPS[name](run)
+        for _ in range(rng.choice([1, 1, 3])):  # repeated runs count each
+            planted.append((len(text), len(text) + len(run), "access" if secret[0] == "A" else "assign", names))
+            text += run + rng.choice([" ", "\n", " and "])
+    found = [x for x in secrets.scan(text)[1] if x not in secrets.base_spans(text)]
+    for a, b, kind, names in planted:
+        assert any(a <= x and y <= b and k == kind for x, y, k in found), (names, text[a:b])
+    assert all(any(a <= x and y <= b for a, b, *_ in planted) for x, y, _ in found)
+
+
+def test_deep_and_large_layers_take_linear_time_and_memory():
+    began = time.process_time()
+    deep = "%" + "25" * 200_000 + "70assword=hunter222"
+    assert (0, len(deep), "assign") in secrets.scan(deep)[1]
+    mixed = "p"
+    for k in range(400):
+        mixed = "".join(f"%{ord(c):02X}" if k % 2 else f"\\u{ord(c):04x}" for c in mixed[0]) + mixed[1:]
+    assert (0, len(mixed) + 17, "assign") in secrets.scan(mixed + "assword=hunter222")[1]
+    large = "".join(random.Random(1).choices("abcdefgh ,.\n", k=1_000_000)) + SECRET
+    for run in (b64(large), b64(zlib.compress(large.encode())), percent(large[-300_000:])):
+        assert any(k == "assign" for _, _, k in secrets.scan(f"before {run} after")[1])
+    assert time.process_time() - began < 60
+    tracemalloc.start()
+    bomb = b64(zlib.compress(b"nothing to see here\n" * 1_000_000 + SECRET.encode()))
+    assert (0, len(bomb), "assign") in secrets.scan(bomb)[1]
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
+def test_op7_on_an_empty_table(spark, tmp_path):
+    assert secrets.op7_secret_scan(spark, stored(spark, tmp_path, docs(spark, []))).collect() == []
+
+
 def test_scan_ends_on_cycles_and_bad_data():
     for text in ("%2525252525", "A" * 5000, base64.b64encode(b"\x1f\x8b" + b"0" * 40).decode(), "\\ud800\\ud800", "%ff%fe token=abcdefg"):
         secrets.scan(text)
