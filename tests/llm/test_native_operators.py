@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 from datetime import date
 
@@ -158,3 +159,19 @@ def test_url_filter_on_repeated_captures_and_empty_lists(spark):
     twice = captures(spark, [("http://a.b/", "2024-01-01")])
     assert [x.blocked for x in url_filter.judge(twice.union(twice), entries).collect()] == [False, False]
     assert url_filter.judge(captures(spark, [("x", None)]).limit(0), entries).collect() == []
+
+
+def test_url_filter_on_very_long_urls_and_clashing_columns(spark):
+    entries = spark.createDataFrame([(1, "2024-01-01", "block", "prefix", "a.b/x/x/x", "add"), (2, "2024-01-01", "block", "domain", "b.c", "add")], url_filter.ENTRY_SCHEMA)
+    urls = [("http://a.b" + "/x" * 60_000, "2024-02-01"), ("http://a.b/y" + "/x" * 60_000, "2024-02-01"), ("http://" + "d." * 30_000 + "b.c/", "2024-02-01"), ("http://a.b/" + "z" * 100_000, "2024-02-01")]
+    frame = captures(spark, urls).withColumn("kind", F.lit(1)).withColumn("pattern", F.lit("p")).withColumn("host", F.lit(2)).withColumn("spans", F.lit(3))
+    began = time.perf_counter()
+    assert [x.blocked for x in url_filter.judge(frame, entries).orderBy("id").collect()] == [True, False, True, False]
+    assert time.perf_counter() - began < 30
+
+
+def test_made_list_grows_with_the_pages(spark):
+    urls = spark.range(4_000).select(F.concat(F.lit("http://h"), F.col("id") % 90, F.lit(".example/p/"), F.col("id")).alias("url")).union(spark.createDataFrame([(None,), ("no url",)], "url string"))
+    got = url_filter.made_list(urls).collect()
+    assert {x.kind for x in got} == {"domain", "prefix"} and {x.action for x in got} == {"add", "remove"} and {x.list for x in got} == {"allow", "block"}
+    assert 120 < len({x.pattern for x in got if x.kind == "prefix"}) < 280
