@@ -1,9 +1,9 @@
 """Suffix-array dedup: removes every byte covered by a 200-byte string that starts anywhere else too.
 
 1. Each 200-byte window has an anchor: the 64-byte gram in it with the smallest hash, leftmost of equals. Occurrences of one window have the
-   same anchor at the same place in it, so windows can be judged where their anchor's occurrences meet. An occurrence is sent as two hashes: of
-   its gram, and of all bytes that its windows cover.
-2. Occurrences with equal bytes throughout are copies: all their windows repeat. Where a gram occurs with different bytes around it, the bytes
+   same anchor at the same place in it, so windows can be judged where their anchor's occurrences meet. An occurrence is sent as a hash of
+   its gram, and a 128-bit BLAKE2 digest of all bytes that its windows cover.
+2. Occurrences with equal digests are copies: all their windows repeat. Where a gram occurs with different bytes around it, the bytes
    are needed, and are fetched; elsewhere, nothing repeats.
 3. Contexts of one gram are cut, aligned at it, where any two of them begin to differ; a cut context is a string of a few symbols.
    The suffix array of all a task's strings is made by linear grouping (below), and a suffix's longest common prefix with its neighbours
@@ -14,7 +14,8 @@ member (its previous-smaller pointer) moves into a group of its own behind its o
 read off in one ascending pass along the pointers. Nothing is renamed or sorted again.
 
 Matches never cross documents. Null text counts as empty; texts under 200 bytes keep all bytes. Rows that repeat a doc_id are documents of
-their own. Equal texts are found as any other repeat, and lose all bytes if they have 200 or more.
+their own. Equal texts are found as any other repeat, and lose all bytes if they have 200 or more. Texts are told by 64-bit names; names that texts of
+different SHA-256 digests share are dealt anew. Other columns are not read.
 """
 
 import hashlib
@@ -34,7 +35,7 @@ SIDE = LENGTH - GRAM
 PART_BYTES = 48 << 20
 _BYTE = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 MARK = np.dtype([("name", "<i8"), ("start", "<u4"), ("stop", "<u4")])
-ENTRY = np.dtype([("gram", "<u8"), ("bytes", "<u8"), ("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("many", "u1")])
+ENTRY = np.dtype([("gram", "<u8"), ("bytes", "<u8"), ("more", "<u8"), ("pos", "<u4"), ("before", "u1"), ("after", "u1"), ("many", "u1")])
 
 
 # ---- linear grouping
@@ -124,11 +125,11 @@ def common_prefixes(text: list[int], order: list[int]) -> list[int]:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all rows' windows: positions of anchors, first and last window start, hash of the gram and of all bytes their windows cover."""
+    """Of all rows' windows: positions of anchors, first and last window start, hash of the gram, and the two halves of a digest of all bytes their windows cover."""
     none = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     if not (sizes >= LENGTH).any():
-        return none, none, none, none.view(U), none.view(U)
+        return none, none, none, none.view(U), np.zeros((0, 2), U)
     n = len(data)
     forward, back = _power_tables(n + 1)
     sums = np.zeros(n + 1, U)
@@ -148,8 +149,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     at = (np.minimum(behind[starts], ahead[starts + SIDE]) & U(0xFFFFFFFF)).astype(np.int64)
     new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     pos, first, last = at[new], starts[new], starts[np.r_[new[1:], len(starts)] - 1]
-    around = mix((sums[last + LENGTH] - sums[first]) * back[first] + ((pos - first) * 256 + pos - last).astype(U), 12)
-    return pos, first, last, gram[pos], around
+    raw = data.tobytes()
+    around = b"".join(
+        hashlib.blake2b(raw[a:b], digest_size=16, salt=bytes((p - a, p + LENGTH - b))).digest()  # with the place of the gram in these bytes
+        for p, a, b in zip(pos.tolist(), first.tolist(), (last + LENGTH).tolist(), strict=True)
+    )
+    return pos, first, last, gram[pos], np.frombuffer(around, "<u8").reshape(-1, 2)
 
 
 def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -181,6 +186,15 @@ def _marks(kind: int, marks: np.ndarray, parts: int) -> list[tuple]:
     return [(kind, p, b"", marks[x].tobytes()) for p, x in _by_part(_of(np.ascontiguousarray(marks["name"]), parts), parts)]
 
 
+def _changes(rows: np.ndarray, *fields: str) -> np.ndarray:
+    """Where a row differs from the one before it in any of these fields."""
+    out = np.zeros(len(rows), bool)
+    out[:1] = True
+    for k in fields:
+        out[1:] |= rows[k][1:] != rows[k][:-1]
+    return out
+
+
 def _full(names, pos, before, after) -> np.ndarray:
     out = np.zeros(len(names), MARK)
     out["name"], out["start"], out["stop"] = names, pos - before, pos - after + LENGTH
@@ -200,15 +214,15 @@ def dealt_anchors(texts: DataFrame, parts: int) -> DataFrame:
                     continue
                 doc = np.searchsorted(offsets, pos, "right") - 1
                 entry = np.zeros(len(pos), ENTRY)
-                entry["gram"], entry["bytes"], entry["pos"], entry["before"], entry["after"] = gram, around, pos - offsets[doc], pos - first, pos - last
+                entry["gram"], entry["bytes"], entry["more"], entry["pos"], entry["before"], entry["after"] = gram, around[:, 0], around[:, 1], pos - offsets[doc], pos - first, pos - last
                 held.append(entry)
                 held_names.append(all_names[row + doc])
             if not held:
                 continue
             entry, names = np.concatenate(held), np.concatenate(held_names)
-            order = np.lexsort((entry["bytes"], entry["gram"]))
+            order = np.lexsort((entry["more"], entry["bytes"], entry["gram"]))
             entry, names = entry[order], names[order]
-            new = np.r_[True, (entry["gram"][1:] != entry["gram"][:-1]) | (entry["bytes"][1:] != entry["bytes"][:-1])]
+            new = _changes(entry, "gram", "bytes", "more")
             run_of = np.cumsum(new) - 1
             several = (np.bincount(run_of) > 1)[run_of]
             entry["many"] = several
@@ -232,10 +246,9 @@ def _judge(parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         names, entry = _joined(table.column("names"), "<i8"), _joined(table.column("body"), ENTRY)
-        order = np.lexsort((entry["pos"], names, entry["bytes"], entry["gram"]))
+        order = np.lexsort((entry["pos"], names, entry["more"], entry["bytes"], entry["gram"]))
         names, entry = names[order], entry[order]
-        new_gram = np.r_[True, entry["gram"][1:] != entry["gram"][:-1]]
-        new = new_gram | np.r_[True, entry["bytes"][1:] != entry["bytes"][:-1]]
+        new_gram, new = _changes(entry, "gram"), _changes(entry, "gram", "bytes", "more")
         klass, gram = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
         copies = (np.bincount(klass) > 1) | (np.bincount(klass, entry["many"]) > 0)
         full = copies[klass]
@@ -409,9 +422,22 @@ def _compare(parts: int):
     return run
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Adds name, the same for equal texts only: a hash, dealt anew for texts that share one and differ in their SHA-256 digest."""
+    rows = rows.withColumn("name", F.xxhash64("text"))
+    for seed in range(1, 100):
+        each = rows.filter(F.octet_length("text") >= LENGTH).select("name", F.sha2("text", 256).alias("digest"))
+        shared = each.groupBy("name").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("name")
+        if (clashes := shared.collect()) == []:  # about n^2 / 2^65 of n texts
+            return rows
+        rows = rows.withColumn("name", F.when(F.col("name").isin([x.name for x in clashes]), F.xxhash64("text", F.lit(seed))).otherwise(F.col("name")))
+    raise RuntimeError("names of texts keep clashing")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, kept (the text without what repeats, binary), spans (start, stop of what was removed, uint32 pairs)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("name", F.xxhash64("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = named(rows)
     parts = scaled(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
     dealt = dealt_anchors(rows.filter(F.octet_length("text") >= LENGTH), parts)
     dealt = cut(dealt, "anchors")

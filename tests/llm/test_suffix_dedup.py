@@ -77,3 +77,27 @@ def test_spans_of_null_and_repeated_ids(spark):
     text = "".join(random.Random(3).choices("abcd", k=300))
     got = sd.remove_repeats(docs(spark, [text, text, "x" + text], [None, 4, 4])).collect()
     assert sorted(bytes(x.kept) for x in got) == [b"", b"", b"x"]
+
+
+def test_names_that_clash_are_dealt_anew(spark, monkeypatch):
+    texts = ["".join(random.Random(i).choices("abcd", k=300)) for i in (1, 2, 3, 1, 2)]
+    hashed = sd.F.xxhash64
+    few = lambda *c: hashed(*c) % (1 if len(c) == 1 else 2**40)  # noqa: E731  all first names are the same
+    monkeypatch.setattr(sd.F, "xxhash64", few)
+    got = sd.named(docs(spark, texts).select("doc_id", "text")).orderBy("doc_id").collect()
+    names = [x.name for x in got]
+    assert names[0] == names[3] and names[1] == names[4] and len(set(names)) == 3
+
+
+def test_occurrences_are_told_by_digests_of_their_bytes():
+    rng = random.Random(4)
+    passage = bytes(rng.choices(b"abcdef", k=400))
+    texts = [passage, b"x" + passage, passage[:300] + b"y" * 100, passage]
+    data = sd.np.frombuffer(b"".join(texts), sd.np.uint8)
+    offsets = sd.np.cumsum([0, *map(len, texts)])
+    pos, first, last, gram, around = sd.anchors(data, offsets)
+    seen = {}
+    for p, a, b, d in zip(pos, first, last, around.tolist()):
+        key = (bytes(data[a : b + 200]), p - a, p - b)
+        assert seen.setdefault(key, d) == d
+    assert len({tuple(x) for x in seen.values()}) == len(seen)
