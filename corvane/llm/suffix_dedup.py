@@ -8,6 +8,7 @@
 3. Contexts of one gram are cut, aligned at it, where any two of them begin to differ; a cut context is a string of a few symbols.
    The suffix array of all a task's strings is made by linear grouping (below), and a suffix's longest common prefix with its neighbours
    tells how far the windows that start there repeat. As cuts are at all places where contexts differ, this is exact to the byte.
+   Of a gram with more than HOT_CLASSES different contexts, which would be one task's, each window is judged where its own digest's occurrences meet.
 
 Linear grouping: suffixes are grouped by their Lyndon prefixes. Groups are taken in descending order; the nearest smaller suffix before each
 member (its previous-smaller pointer) moves into a group of its own behind its old one, by how often the group follows it. Then the order within groups is
@@ -178,7 +179,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=["kind", "part", "names", "body"])
 
 
-#: kind 0: entries to be judged in a part; 1: spans that repeat, 2: contexts to be fetched, both by text
+WINDOW = np.dtype([("bytes", "<u8"), ("more", "<u8"), ("name", "<i8"), ("start", "<u4"), ("many", "u1"), ("copy", "u1")])
+HOT_CLASSES = 4096
+#: kind 0: entries to be judged in a part; by text 1: spans that repeat, 2: contexts to be fetched, 3: those of hot grams
 DEALT = "kind int, part int, names binary, body binary"
 
 
@@ -241,7 +244,7 @@ def _joined(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _judge(parts: int):
+def _judge(parts: int, hot_classes: int):
     """Of a part's occurrences: which are copies throughout, and which need their bytes compared."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -257,29 +260,33 @@ def _judge(parts: int):
         fetch = new & ((classes > 1) & lone)[gram]
         pos = entry["pos"].astype(np.int64)
         rows = _marks(1, _full(names[full], pos[full], entry["before"][full], entry["after"][full]), parts)
+        hot = (classes > hot_classes)[gram][fetch]
         want = np.zeros(int(fetch.sum()), MARK)
         # a context is named by its anchor and by how far its windows reach before and after; a copies' one is only compared with
         want["name"], want["start"] = names[fetch], pos[fetch]
         want["stop"] = (entry["before"][fetch].astype(np.uint32) << 9) | (entry["after"][fetch].astype(np.uint32) << 1) | full[fetch]
-        rows += _marks(2, want, parts)
+        rows += _marks(2, want[~hot], parts) + _marks(3, want[hot], parts)
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
 def _by_text(table: pa.Table) -> pa.Table:
-    """A row for each text: its spans that repeat, merged, and the contexts to be fetched."""
+    """A row for each text: its spans that repeat, merged, and the contexts to be fetched (those of hot grams apart)."""
     kind = table.column("kind").to_numpy()
     spans = _joined(table.filter(pa.array(kind == 1)).column("body"), MARK)
-    wants = np.unique(_joined(table.filter(pa.array(kind == 2)).column("body"), MARK))
+    wants, hot = (np.unique(_joined(table.filter(pa.array(kind == k)).column("body"), MARK)) for k in (2, 3))
     spans = merged(spans)
-    out = {"name": [], "spans": [], "wants": []}
-    for name in np.union1d(spans["name"], wants["name"]).tolist():
+    out = {"name": [], "spans": [], "wants": [], "hot": []}
+    for name in np.unique(np.concatenate((spans["name"], wants["name"], hot["name"]))).tolist():
         out["name"].append(name)
-        for k, x in (("spans", spans), ("wants", wants)):
+        for k, x in (("spans", spans), ("wants", wants), ("hot", hot)):
             a, b = np.searchsorted(x["name"], [name, name + 1]) if name < 2**63 - 1 else (np.searchsorted(x["name"], name), len(x))
             out[k].append(x[a:b].tobytes())
-    return pa.table({"name": pa.array(out["name"], pa.int64()), "spans": pa.array(out["spans"], pa.binary()), "wants": pa.array(out["wants"], pa.binary())})
+    return pa.table({"name": pa.array(out["name"], pa.int64()), "spans": pa.array(out["spans"], pa.binary()), "wants": pa.array(out["wants"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
+
+
+BY_TEXT = "name long, spans binary, wants binary, hot binary"
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -296,14 +303,47 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
+FETCHED = "kind int, part int, head binary, body binary"
+
+
+def _windows(name: int, raw: bytes, asks: np.ndarray) -> np.ndarray:
+    """The windows of a text's hot contexts, each with a digest of its bytes."""
+    out = []
+    for ask in asks:
+        pos, stop = int(ask["start"]), int(ask["stop"])
+        starts = np.arange(pos - (stop >> 9), pos - (stop >> 1 & 0xFF) + 1)
+        own = np.zeros(len(starts), WINDOW)
+        digests = np.frombuffer(b"".join(hashlib.blake2b(raw[a : a + LENGTH], digest_size=16).digest() for a in starts.tolist()), "<u8").reshape(-1, 2)
+        own["bytes"], own["more"], own["name"], own["start"], own["copy"] = digests[:, 0], digests[:, 1], name, starts, stop & 1
+        out.append(own)
+    return np.concatenate(out) if out else np.zeros(0, WINDOW)
+
+
+def _repeated(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of windows that repeat among these or are known to, and one window for each digest, marked so."""
+    windows = windows[np.lexsort((windows["more"], windows["bytes"]))]
+    new = _changes(windows, "bytes", "more")
+    run_of = np.cumsum(new) - 1
+    many = (np.bincount(run_of) > 1) | (np.bincount(run_of, windows["many"]) > 0) if len(windows) else new
+    hit = windows[many[run_of] & (windows["copy"] == 0)]
+    spans = np.zeros(len(hit), MARK)
+    spans["name"], spans["start"], spans["stop"] = hit["name"], hit["start"], hit["start"] + LENGTH
+    first = windows[new]
+    first["many"] = many
+    return merged(spans), first
+
+
 def contexts(rows: DataFrame, parts: int) -> DataFrame:
-    """The asked contexts' bytes, by part of their gram. rows: text, name, wants; repeats of a text in a task are passed over."""
+    """The asked contexts' bytes by part of their gram (kind 2); of hot grams, windows by part of their digest (0), less those that repeat within a batch (1).
+
+    rows: text, name, wants, hot; repeats of a text in a task are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            grams, heads, bodies = [], [], []
-            for name, text, wants in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), batch.column("wants").to_pylist(), strict=True):
+            grams, heads, bodies, windows = [], [], [], []
+            for name, text, wants, hot in zip(*(batch.column(k).to_pylist() for k in ("name", "text", "wants", "hot")), strict=True):
                 if name in seen:
                     continue
                 seen.add(name)
@@ -312,13 +352,20 @@ def contexts(rows: DataFrame, parts: int) -> DataFrame:
                     pos, stop = int(want["start"]), int(want["stop"])
                     before, after = stop >> 9, stop >> 1 & 0xFF
                     grams.append(int.from_bytes(hashlib.blake2b(raw[pos : pos + GRAM], digest_size=8).digest(), "little"))
-                    heads.append(want)
+                    heads.append(want.tobytes())
                     bodies.append(raw[pos - before : pos - after + LENGTH])
-            if grams:
-                part = _parts_of(np.array(grams, U), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([x.tobytes() for x in heads], pa.binary()), pa.array(bodies, pa.binary())], names=["part", "head", "body"])
+                windows.append(_windows(name, raw, np.frombuffer(hot, MARK)))
+            kind, part = [2] * len(grams), _parts_of(np.array(grams, U), parts).tolist()
+            spans, first = _repeated(np.concatenate(windows)) if windows else (np.zeros(0, MARK), np.zeros(0, WINDOW))
+            for k, p, x in [(0, p, first[x]) for p, x in _by_part(_parts_of(first["bytes"], parts), parts)] + [(1, 0, spans)] * bool(len(spans)):
+                kind.append(k)
+                part.append(p if k == 0 else int(x["name"][0]) % parts)
+                heads.append(b"")
+                bodies.append(x.tobytes())
+            if kind:
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], names=["kind", "part", "head", "body"])
 
-    return rows.select("text", "name", "wants").mapInArrow(run, "part int, head binary, body binary")
+    return rows.select("text", "name", "wants", "hot").mapInArrow(run, FETCHED)
 
 
 class Side:
@@ -391,9 +438,16 @@ SYMBOL_CONTEXTS = 20_000
 
 
 def _compare(parts: int):
-    """Compares a part's contexts, gram by gram, and gives the spans that repeat."""
+    """Compares a part's contexts, gram by gram, and its windows of hot grams, and gives the spans that repeat."""
 
     def run(table: pa.Table) -> pa.Table:
+        kind = table.column("kind").to_numpy()
+        passed = _joined(table.filter(pa.array(kind == 1)).column("body"), MARK)
+        spans, _ = _repeated(_joined(table.filter(pa.array(kind == 0)).column("body"), WINDOW))
+        known = _marks(1, merged(np.concatenate((passed, spans))), parts)
+        table = table.filter(pa.array(kind == 2))
+        if not table.num_rows:
+            return pa.Table.from_batches([_rows(known)])
         head = _joined(table.column("head"), MARK)
         bodies = table.column("body").to_pylist()
         stop = head["stop"].astype(np.int64)
@@ -417,7 +471,7 @@ def _compare(parts: int):
                         pos = int(head["start"][i])
                         marks.append((int(head["name"][i]), pos - hi, pos - lo + LENGTH))
             a = b
-        return pa.Table.from_batches([_rows(_marks(1, np.array(marks, MARK), parts))])
+        return pa.Table.from_batches([_rows(known + _marks(1, np.array(marks, MARK), parts))])
 
     return run
 
@@ -434,20 +488,20 @@ def named(rows: DataFrame) -> DataFrame:
     raise RuntimeError("names of texts keep clashing")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, kept (the text without what repeats, binary), spans (start, stop of what was removed, uint32 pairs)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = named(rows)
     parts = scaled(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0, PART_BYTES)
     dealt = dealt_anchors(rows.filter(F.octet_length("text") >= LENGTH), parts)
     dealt = cut(dealt, "anchors")
-    judged = dealt.filter("kind = 0").groupBy("part").applyInArrow(_judge(parts), DEALT)
-    marks = judged.union(dealt.filter("kind = 1")).groupBy("part").applyInArrow(_by_text, "name long, spans binary, wants binary")
+    judged = dealt.filter("kind = 0").groupBy("part").applyInArrow(_judge(parts, hot_classes), DEALT)
+    marks = judged.union(dealt.filter("kind = 1")).groupBy("part").applyInArrow(_by_text, BY_TEXT)
     marks = cut(marks, "marks")
-    asked = marks.filter("octet_length(wants) > 0").select("name", "wants")
+    asked = marks.filter("octet_length(wants) + octet_length(hot) > 0").select("name", "wants", "hot")
     fetched = contexts(rows.join(asked.hint("shuffle_hash"), "name"), parts)
     compared = fetched.groupBy("part").applyInArrow(_compare(parts), DEALT)
-    more = compared.groupBy("part").applyInArrow(_by_text, "name long, spans binary, wants binary").select("name", F.col("spans").alias("more"))
+    more = compared.groupBy("part").applyInArrow(_by_text, BY_TEXT).select("name", F.col("spans").alias("more"))
     both = rows.join(marks.select("name", "spans").hint("shuffle_hash"), "name", "left").join(more.hint("shuffle_hash"), "name", "left")
     return both.select("doc_id", "text", "spans", "more").mapInArrow(_removed, "doc_id long, n_bytes long, kept binary, spans binary")
 

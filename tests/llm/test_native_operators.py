@@ -1,9 +1,13 @@
 import hashlib
+import math
+import re
+import struct
 import time
 from collections import Counter
 from datetime import date
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, docs, stored
 
@@ -82,6 +86,40 @@ def test_mix_with_nulls_repeats_and_no_rows(spark):
     assert mixing.mix(docs(spark, [])).collect() == []
 
 
+def brute_signature(text):
+    """The samples of a text by loops, from the same hashes; None without words."""
+    weights = Counter(x for x in re.split("[ \t\n\x0b\f\r]+", text.lower()) if x)
+    xx = lambda raw, seed: xxhash.xxh64_intdigest(raw, seed)
+    uniform = lambda h, shift: ((h >> shift & (1 << 21) - 1) + 0.5) / (1 << 21)
+    out = []
+    for k in range(fingerprints.SAMPLES):
+        best = None
+        for word, weight in weights.items():
+            code = xx(word.encode(), 42)
+            one, two = (xx(struct.pack("<i", 2 * k + i), xx(struct.pack("<Q", code), 42)) for i in (0, 1))
+            r = -math.log(uniform(one, 0) * uniform(one, 21))
+            b = uniform(two, 21)
+            t = math.floor(math.log(weight) / r + b)
+            key = math.log(-math.log(uniform(one, 42) * uniform(two, 0))) - r * (t - b + 1)
+            packed = (int((key + 128) * (1 << 24)) << 31) | ((code ^ t << 12) & (1 << 31) - 1)
+            best = packed if best is None else min(best, packed)
+        out.append(best)
+    return None if not weights else out
+
+
+def test_op9_by_brute_force(spark, sf_dir):
+    rows = sorted((x.doc_id, x.text or "") for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())[:60] + [(10**6 + i, t or "") for i, t in enumerate(TEXTS) if len(t or "") < 2_000]
+    got = {x.doc_id: x for x in fingerprints.edited_fingerprints(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    alike = lambda a, b: float(a == b) if a is None or b is None else sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    text_of = lambda s: "".join(f"{x & (1 << 31) - 1:08x}" for x in s or [])
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        n = len(text) // 4
+        own, changed = brute_signature(text), brute_signature(text[: len(text) - n] + following[:n])
+        assert got[i].fingerprint == text_of(own) and got[i].edited_fingerprint == text_of(changed)
+        assert got[i].near_edited == alike(own, changed) and got[i].near_next == alike(own, brute_signature(following))
+
+
 WIDE = [-(2**63), 5, 2**63 - 1, -(2**63) + 1, None, None, 5, 0]
 
 
@@ -118,6 +156,14 @@ def test_fingerprints_with_ids_over_all_numbers(spark):
         assert got[i].edited_sha256 == hashlib.sha256((own[: len(own) - quarter] + head[:quarter]).encode()).hexdigest()
 
 
+def test_fingerprints_with_null_and_repeated_ids(spark):
+    texts = ["one two three", "four five six seven", None, "one two three", "eight nine ten eleven twelve"]
+    got = fingerprints.edited_fingerprints(docs(spark, texts, [3, 3, None, None, 7])).collect()
+    assert sorted((str(x.doc_id), x.n_chars) for x in got) == sorted((str(i), len(t or "")) for i, t in zip([3, 3, None, None, 7], texts, strict=True))
+    by_text = {x.n_chars: x.fingerprint for x in got if x.doc_id == 3}
+    assert by_text[13] in {x.fingerprint for x in got if x.doc_id is None} and len(set(by_text.values())) == 2
+
+
 def captures(spark, rows):
     return spark.createDataFrame([(i, u, date.fromisoformat(d) if d else None) for i, (u, d) in enumerate(rows)], "id long, url string, fetched_on date")
 

@@ -73,6 +73,16 @@ def test_op5(spark, sf_dir, tmp_path, case):
     assert sorted(map(tuple, sd.op5_suffix_dedup(spark, folder).collect())) == brute(rows)
 
 
+@pytest.mark.parametrize("hot_classes", [0, 3])
+def test_hot_grams_are_judged_by_window(spark, hot_classes):
+    header = "".join(random.Random(9).choices("abcdefgh ", k=260))
+    texts = made(3) + [f"{i % 7}{header}{'xyz'[: i % 4]} {i % 11} tail {i}" * (1 + i % 2) for i in range(60)]
+    frame = docs(spark, texts).repartition(4)
+    want = {i: (kept, removed) for i, _, removed, _, kept in brute(list(enumerate(texts)))}
+    got = {x.doc_id: (hashlib.sha256(x.kept).hexdigest(), x.n_bytes - len(x.kept)) for x in sd.remove_repeats(frame, hot_classes).collect()}
+    assert got == want
+
+
 def test_spans_of_null_and_repeated_ids(spark):
     text = "".join(random.Random(3).choices("abcd", k=300))
     got = sd.remove_repeats(docs(spark, [text, text, "x" + text], [None, 4, 4])).collect()
