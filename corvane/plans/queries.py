@@ -852,7 +852,7 @@ def _(b):
     return information.sequence_meta(b.nmi, information.similarity(b.nmi, b.corr), 0.05)
 
 
-@query("m13_mi_graph", _MIG, "weight")
+@query("m13_mi_graph", _MIG, "weight", digits=9)  # similarities are rounded to nine digits once, before they are ranked
 def _(b):
     return _mi_edges(b)
 
