@@ -55,7 +55,7 @@ _WIDE_SPACES = [x.encode() for x in re.findall(f"[{WHITE}]", "".join(map(chr, ra
 
 LEAF_CHARS = 2048
 SEGMENT_CHARS = 1 << 18
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
 CACHED_BYTES = 48
 
 
@@ -107,15 +107,17 @@ class TreeEncoder:
         """Ids of pieces from the library. Those that start with white space and end without any follow each other in one text."""
         out: dict[str, bytes] = {}
         lead = [x for x in pieces if _SOLID_ENDS.fullmatch(x)]
-        for i in range(0, len(lead), 8192):
-            part = lead[i : i + 8192]
+        for i in range(0, len(lead), 4096):
+            part = lead[i : i + 4096]
             ids = self.plain(["".join(part)])[0]
             sizes = np.fromiter((len(x.encode()) for x in part), np.int64, len(part))
             ends = ((np.searchsorted(np.cumsum(self.width_table[ids]), np.cumsum(sizes)) + 1) * 4).tolist()
             raw = ids.tobytes()
             out.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         rest = [x for x in pieces if x not in out]
-        out.update(zip(rest, (x.tobytes() for x in self.plain(rest)), strict=True))
+        for i in range(0, len(rest), 2048):  # an encoding of the library's takes far more memory than its ids
+            part = rest[i : i + 2048]
+            out.update(zip(part, (x.tobytes() for x in self.plain(part)), strict=True))
         return [out[x] for x in pieces]
 
     def encode_leaves(self, texts: list[str]) -> list[np.ndarray]:
@@ -146,8 +148,10 @@ class TreeEncoder:
         first = np.cumsum(size) - size
         n = size[index]
         ends = np.cumsum(n)
-        out = flat[np.repeat(first[index] - (ends - n), n) + np.arange(ends[-1])]
         edges = np.append(0, ends)[np.searchsorted(starts, rows)].tolist()
+        at = np.repeat((first[index] - (ends - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        out = flat[at]
         return [out[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     # joins; a node is (start, end, ids) of a text
@@ -286,7 +290,7 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about most bytes."""
     step = max(1, int(batch.num_rows * most / max(batch.nbytes, 1)))
     for i in range(0, batch.num_rows, step):
