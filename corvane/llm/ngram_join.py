@@ -415,7 +415,7 @@ def block_links(sets: DataFrame, blocks: DataFrame, group_docs: int = GROUP_DOCS
     return from_small.union(from_large)
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
+def row_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, row_id (of monotonically_increasing_id) and keep_row (of the row that has the component's id) for each row."""
     rows = cut(shingle_signatures(docs), "signatures")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id"))
@@ -444,5 +444,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     )
 
 
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for each row."""
+    return row_groups(docs).drop("row_id", "keep_row")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf_dir, "doc_id", "text")).drop("row_id", "keep_row")
+    return jaccard_join(documents(spark, sf_dir, "doc_id", "text"))

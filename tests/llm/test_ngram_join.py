@@ -102,5 +102,5 @@ def test_classes_without_any_id_keep_their_links(spark):
     got = ngram_join.jaccard_join(docs(spark, texts, [None, None, 8, None])).collect()
     assert sorted(x.n_links for x in got) == [0, 2, 2, 2]
     assert sorted(str(x.component_id) for x in got) == ["8", "8", "8", "None"]
-    got = ngram_join.jaccard_join(docs(spark, texts[:2], [None, None])).collect()
+    got = ngram_join.row_groups(docs(spark, texts[:2], [None, None])).collect()
     assert [x.n_links for x in got] == [1, 1] and len({x.keep_row for x in got}) == 1
