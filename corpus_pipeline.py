@@ -34,7 +34,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest doc_id stays."""
-    return without(docs, ngram_join.jaccard_join(docs).filter("row_id <> keep_row").select("row_id"))
+    return without(docs, ngram_join.row_groups(docs).filter("row_id <> keep_row").select("row_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
